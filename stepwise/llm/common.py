@@ -1,44 +1,16 @@
-"""What the corpus operators share: the shared folder, text blocks and row numbers."""
+"""What the corpus operators share: text blocks and row numbers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests, local mode) is a folder made.
-    """
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="stepwise-")
-        spark.conf.set(SETTING, folder)
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder.rstrip("/")
-
-
-def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: cuts the lineage, computes once.
-
-    Unlike ``checkpoint()`` the plan runs once only, and the files outlive executors.
-    """
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
+from ..operators.storage import shared_folder, written  # noqa: F401
 
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""

@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_copies
 
@@ -27,6 +33,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_copies
+
+    return near_copies(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(spark, table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,9 +75,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op8_packing": op8_packing, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_language_id, op4_toxicity, op5_pii, op6_ngram_join, op7_secrets, op8_packing, op9_mixing, op10_quality)}
 
 ORACLES = {
+    "op1_sharding": """
+        WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+        l AS (SELECT d.*, r.range AS depth, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_docs FROM d, range(0, 16) r WINDOW w AS (PARTITION BY r.range, hash >> (60 - r.range))),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS n FROM l WHERE shard_bytes <= 1048576)
+        SELECT doc_id, n_bytes, substr(right(format('{:064b}', hash), 60), 1, depth::INTEGER) AS shard, depth::INTEGER AS depth, shard_bytes::BIGINT AS shard_bytes, shard_docs FROM f WHERE n = 1""",
     "op2_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         n AS (SELECT *, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size FROM t)
