@@ -29,7 +29,7 @@ SIMILAR = (4, 5)
 RECALL = 0.999
 TOKENS = 24
 #: Largest bucket for one comparison, sets in a block, tokens by which a bucket splits.
-SMALL, BLOCK, BRANCHES = 200, 400, 3
+SMALL, BLOCK, BRANCHES = 400, 800, 3
 DEPTH, DENSE = 8, 0.5
 INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
