@@ -31,6 +31,7 @@ TOKENS = 24
 #: Largest bucket for one comparison, sets in a block, tokens by which a bucket splits.
 SMALL, BLOCK, BRANCHES = 400, 800, 3
 DEPTH, DENSE = 8, 0.5
+LEADERS = 3
 INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
 
@@ -121,10 +122,11 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
             break
         large = large.join(nodes, "node")
         if level < depth:
-            # The mean similarity of a bucket's sets, from how often tokens agree in it.
-            each = large.select("path", "n", F.posexplode("tokens").alias("k", "token")).groupBy("path", "n", "k", "token").agg(F.count("*").alias("c"))
-            alike = each.groupBy("path", "n").agg((F.sum(F.col("c").cast("double") * (F.col("c") - 1)) / (F.lit(float(TOKENS)) * F.col("n") * (F.col("n") - 1))).alias("alike"))
-            large = large.join(alike.select("path", "alike"), "path")
+            # The mean similarity of a bucket's sets to some of its members, chosen by hash.
+            leaders = large.groupBy("path").agg(*[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
+            same = sum(F.size(F.filter(F.zip_with("tokens", f"leader{k}", lambda x, y: x == y), lambda x: x)) for k in range(LEADERS))
+            alike = large.join(leaders, "path").groupBy("path").agg((F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
+            large = large.join(alike, "path")
         else:
             large = large.withColumn("alike", F.lit(1.0))
         large = written(spark, large, "large-paths")
