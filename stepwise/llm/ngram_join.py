@@ -120,18 +120,17 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
         large = rows.filter(F.col("n") > small)
         if large.limit(1).count() == 0:
             break
-        large = large.join(nodes, "node")
+        large = written(spark, large.join(nodes, "node"), "large-paths")
+        dense = F.lit(True)
         if level < depth:
             # The mean similarity of a bucket's sets to some of its members, chosen by hash.
             leaders = large.groupBy("path").agg(*[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
             same = sum(F.size(F.filter(F.zip_with("tokens", f"leader{k}", lambda x, y: x == y), lambda x: x)) for k in range(LEADERS))
             alike = large.join(leaders, "path").groupBy("path").agg((F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
-            large = large.join(alike, "path")
-        else:
-            large = large.withColumn("alike", F.lit(1.0))
-        large = written(spark, large, "large-paths")
-        tasks.append(blocks(large.filter(F.col("alike") >= DENSE), block))
-        rows = branch(large.filter(F.col("alike") < DENSE), F.col("path"), F.col("used"), BRANCHES)
+            large = large.join(written(spark, alike, "alike-paths"), "path")
+            dense = F.col("alike") >= DENSE
+        tasks.append(blocks(large.filter(dense), block))
+        rows = branch(large.filter(~dense), F.col("path"), F.col("used"), BRANCHES)
     out = tasks[0]
     for part in tasks[1:]:
         out = out.unionByName(part)
