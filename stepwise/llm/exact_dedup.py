@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks, written
+from .common import text_blocks, with_groups, written
 
 SMALLEST, LARGEST = 256, 8192
 ZERO_BITS = 10
@@ -130,8 +130,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, kinds: tuple[str, ...] =
     made = slim.mapInArrow(recipes(kind), "doc_id long, recipe binary, text_sha256 string")
     made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "recipes")
     groups = made.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-    # A plain join, so that a recipe with very many rows is split among tasks at run time.
-    joined = made.join(groups, "recipe")
+    joined = with_groups(made, written(spark, groups, "groups"), "recipe", "group_size")
     return joined.select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwise.llm import exact_dedup, language_id, mixing, ngram_join, packing, pii, quality, secrets, sharding, toxicity
+from stepwise.llm.common import with_groups
 from stepwise.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, row string"
@@ -116,6 +117,16 @@ def test_best_fill_against_brute_force():
         assert sum(k * v for k, v in used.items()) == max(s for s in sums if s <= room)
 
 
+@pytest.mark.parametrize(("parts", "widest"), [(1000, 4096), (10, 4096), (1, 4096), (1000, 1)])
+def test_rows_meet_their_groups(spark, parts, widest):
+    keys = ["hot"] * 60 + ["b"] * 30 + [f"k{i}" for i in range(30)] + [None]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, key string")
+    groups = rows.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    size = Counter(keys)
+    out = with_groups(rows, groups, "key", "n", parts, widest).collect()
+    assert sorted((r.i, r.key, r.n) for r in out) == [(i, k, size[k]) for i, k in enumerate(keys) if k]
+
+
 def test_dedup_verifies_identifiers(spark):
     rng = random.Random(2)
     words = [str(i) for i in range(500)]
