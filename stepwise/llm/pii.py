@@ -4,8 +4,8 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. Informatio
 finds what else reveals them: over all documents, how much a term t tells of the presence
 of an entity kind c is their pointwise mutual information, and set against the kind's own
 information content log2(1 / p(c)) it is the share of the secret that t discloses. Terms
-above a threshold, next to enough different entities, are sensitive in documents that hold
-such an entity; they are generalised to a tag or removed there with the entities.
+above a threshold, next to enough different entities (all those of a document count), are
+sensitive in documents that hold such an entity; they are generalised to a tag or removed there with the entities.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 KINDS = ("email", "ip", "card", "phone")
+#: Stands for a kind as a whole among the hashes of its values.
+WHOLE = 0
 TERM = r"\p{L}{4,}+"
 
 
@@ -50,19 +52,16 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.char_length(x) >= 4))
 
 
-def disclosing(spark: SparkSession, docs: DataFrame, found: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def disclosing(spark: SparkSession, docs: DataFrame, near: DataFrame, held: dict[str, int], disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
     """Terms that disclose a kind: (term, kind, disclosure), from all of ``docs``.
 
-    ``found`` holds the documents with entities: text and an array column for each kind.
+    ``near`` is what ``neighbours`` returns, ``held`` the number of documents with each kind.
     """
     total = docs.count()
-    kinds = F.array(*[F.when(F.size(k) > 0, F.struct(F.lit(k).alias("kind"), F.xxhash64(F.col(k)[0]["v"]).alias("value"))) for k in KINDS])
-    there = found.select("text", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x")).select("text", "x.kind", "x.value")
-    held = {r["kind"]: r["count"] for r in there.groupBy("kind").count().collect()}
-    if not held:
-        return spark.createDataFrame([], "term string, kind string, disclosure double")
-    near = there.select(F.explode(terms(F.col("text"))).alias("term"), "kind", "value")
-    joint = near.groupBy("term", "kind", "value").agg(F.count("*").alias("n")).groupBy("term", "kind").agg(F.sum("n").alias("joint"), F.count("*").alias("values")).filter(F.col("values") >= support)
+    met = near.select(F.explode("terms").alias("term"), "asked").select("term", F.explode("asked").alias("x")).select("term", "x.*")
+    # A value of one document alone is a different one wherever it stands; only shared ones are told apart.
+    met = met.groupBy("term", "kind", "value").agg(F.count("*").alias("n"), F.sum("single").alias("single"))
+    joint = met.groupBy("term", "kind").agg(F.sum(F.when(F.col("value") == WHOLE, F.col("n"))).alias("joint"), (F.sum("single") + F.count(F.when(F.col("value") != WHOLE, 1))).alias("values")).filter(F.col("values") >= support)
     everywhere = docs.select(F.explode(terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("alone"))
     share = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, n / total)])[F.col("kind")]
     information = -F.log2(share)
@@ -71,6 +70,25 @@ def disclosing(spark: SparkSession, docs: DataFrame, found: DataFrame, disclosed
     return scored.filter(F.col("disclosure") >= disclosed).select("term", "kind", "disclosure")
 
 
+def neighbours(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Terms and entities of each document of ``found`` (row, text, an array for each kind).
+
+    Returns row, terms, and asked: for each kind there an entry of value ``WHOLE`` with the
+    number of its different values that no other document holds, and an entry for each of
+    its values that others hold as well.
+    """
+    hashed = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x["v"]).alias("value"))
+    kinds = F.flatten(F.array(*[F.array_distinct(F.transform(k, hashed(k))) for k in KINDS]))
+    there = written(spark, found.select("row", F.explode(kinds).alias("x")).select("row", "x.*"), "pii-values")
+    counts = there.groupBy("kind", "value").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = F.col("held").isNotNull()
+    by = there.join(counts, ["kind", "value"], "left").groupBy("row", "kind").agg(F.count(F.when(~shared, 1)).alias("single"), F.collect_list(F.when(shared, F.col("value"))).alias("shared"))
+    entry = lambda value, single: F.struct("kind", value.alias("value"), single.alias("single"))
+    asked = F.concat(F.array(entry(F.lit(WHOLE).cast("long"), F.col("single"))), F.transform("shared", lambda v: entry(v, F.lit(0).cast("long"))))
+    asked = by.groupBy("row").agg(F.flatten(F.collect_list(asked)).alias("asked"))
+    return written(spark, found.select("row", terms(F.col("text")).alias("terms")).join(asked, "row"), "pii-near")
+
+
 def find(spark: SparkSession, docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, sanitised: bool = False) -> DataFrame:
     """Personal data in every whole text of ``docs`` (doc_id, text).
 
@@ -85,9 +103,10 @@ def find(spark: SparkSession, docs: DataFrame, disclosed: float = DISCLOSED, sup
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     base = written(spark, base.withColumn("text", F.when(some | F.lit(sanitised), F.col("text"))), "pii")
     found = base.filter(some)
-    flagged = disclosing(spark, slim, found, disclosed, support)
-    here = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in KINDS]), lambda x: x.isNotNull())
-    told = found.select("row", F.explode(here).alias("kind"), terms(F.col("text")).alias("terms")).select("row", "kind", F.explode("terms").alias("term"))
+    held = {k: n for k, n in base.agg(*[F.count(F.when(F.size(k) > 0, 1)).alias(k) for k in KINDS]).first().asDict().items() if n}
+    near = neighbours(spark, found)
+    told = near.select("row", F.explode(F.filter("asked", lambda x: x["value"] == WHOLE)["kind"]).alias("kind"), "terms").select("row", "kind", F.explode("terms").alias("term"))
+    flagged = disclosing(spark, slim, near, held, disclosed, support) if held else spark.createDataFrame([], "term string, kind string, disclosure double")
     told = told.join(flagged, ["term", "kind"]).groupBy("row").agg(F.collect_set("term").alias("telling"))
     added = found.join(told, "row").select("row", F.filter(matches(F.col("text"), TERM), lambda x: F.array_contains("telling", F.lower(x["v"]))).alias("term"))
     out = base.join(added, "row", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int,v:string>>")))

@@ -239,6 +239,13 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert out[150].spans == ""
 
 
+def test_every_entity_of_a_document_counts(spark):
+    rows = [(i, f"list@host.example zanzibar mail{i % 9}x@host.example and fax{i}y@host.example", "en", "s") for i in range(20)] + [(100 + i, "plain words stand here without", "en", "s") for i in range(200)]
+    rows += [(400 + i, f"list@host.example quagga lone@host.example x{i}", "en", "s") for i in range(20)]
+    out = {r.doc_id: r for r in pii.find(spark, table(spark, rows), sanitised=True).collect()}
+    assert all("zanzibar" not in out[i].sanitised for i in range(20))
+
+
 def test_battery_tells_keys_from_words(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(60)]
