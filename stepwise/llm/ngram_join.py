@@ -5,7 +5,7 @@ more. Every set is embedded as a list of MinHash tokens, of which two sets share
 a probability equal to their similarity. A run sends every set down a path of sampled
 tokens: sets that share the token of a bucket meet in it. Small buckets are compared by
 brute force. A large one splits on further sampled tokens, three for each set, so that
-similar sets go on together while others part; but a bucket whose sets are alike on
+similar sets go on together while others part (no run starts from these tokens); but a bucket whose sets are alike on
 average, which no token would part, is compared in blocks. Runs repeat until a pair at the
 threshold is met with the target recall. Links are decided on the full sets.
 """
@@ -35,9 +35,27 @@ LEADERS = 3
 INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
 
-def runs(recall: float = RECALL) -> int:
-    """A pair at the threshold misses all runs with probability (1 - threshold) ** runs."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - SIMILAR[0] / SIMILAR[1]))
+def meeting(depth: int = DEPTH) -> float:
+    """The least probability that one run brings a pair at the threshold together.
+
+    The pair shares the run's first token, and, where buckets split ``depth`` times, at each
+    split one of the tokens at least on which it is met further down.
+    """
+    share, further = SIMILAR[0] / SIMILAR[1], 1.0
+    for _ in range(depth):
+        further = 1 - (1 - share * further) ** BRANCHES
+    return share * further
+
+
+def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """A pair at the threshold misses all runs with probability (1 - meeting) ** runs.
+
+    Runs start from tokens of their own, which no split uses; so many must be there.
+    """
+    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meeting(depth))))
+    if count + depth + BRANCHES - 1 > TOKENS:
+        raise ValueError(f"a recall of {recall} takes {count} runs, too many for {TOKENS} tokens")
+    return count
 
 
 def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +124,11 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
 
     Within a task, every two nodes are compared, but with two sides only across them.
     """
-    none = F.array().cast("array<int>")
-    starts = F.explode(F.array(*[F.lit(r) for r in range(runs(recall))]))
-    rows = branch(nodes.select("node", "tokens", starts.alias("run")), F.xxhash64(F.lit("run"), "run"), none, 1)
+    # Run r starts from token r; the tokens of all starts are used up for splits.
+    starts = list(range(runs(recall, depth)))
+    used = F.array(*[F.lit(r) for r in starts])
+    first = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col("tokens")[r].alias("token")) for r in starts]))
+    rows = nodes.select("node", first.alias("c")).select(F.xxhash64(F.lit("run"), "c.run", "c.token").alias("path"), "node", used.alias("used"))
     tasks = []
     for level in range(depth + 1):
         sized = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")

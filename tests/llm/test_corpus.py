@@ -191,6 +191,19 @@ def test_join_against_brute_force(spark, sizes):
     assert sum(r.kept for r in out) == len(set(label.values()))
 
 
+@pytest.mark.parametrize(("values", "small"), [(1 << 30, 400), (40, 100)])
+def test_recall_of_pairs_at_the_threshold(spark, values, small):
+    rng, n = random.Random(12), 20_000
+    rows = []
+    for i in range(n):
+        one = [rng.randrange(values) for _ in range(ngram_join.TOKENS)]
+        rows += [(2 * i, one), (2 * i + 1, [t if rng.random() < 0.8 else values + rng.randrange(values) for t in one])]
+    tasks = ngram_join.buckets(spark, spark.createDataFrame(rows, "node long, tokens array<int>"), small=small).filter("side = 0")
+    met = tasks.groupBy("task", F.floor(F.col("node") / 2).alias("pair")).agg(F.countDistinct("node").alias("n")).filter("n = 2")
+    found = met.select("pair").distinct().count()
+    assert found >= ngram_join.RECALL * n
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
