@@ -5,11 +5,14 @@ finds what else reveals them: over all documents, how much a term t tells of the
 of an entity kind c is their pointwise mutual information, and set against the kind's own
 information content log2(1 / p(c)) it is the share of the secret that t discloses. Terms
 above a threshold, next to enough different entities (all those of a document count), are
-sensitive in documents that hold such an entity; they are generalised to a tag or removed there with the entities.
+sensitive in documents that hold such an entity. So are terms that disclose as much of a
+single entity's information, next to it in two documents or more, where that entity is; they are generalised to a tag or removed there with the entities.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .spans import labelled, listed, matches, replaced
 #: Share of an entity kind's information that a term may disclose, and the least number of
 #: different entities next to which it must stand.
 DISCLOSED, SUPPORT = 0.75, 8
+#: The least number of documents that hold a term together with one entity that it discloses.
+TOGETHER = 2
 LOCAL = "A-Za-z0-9._%+-"
 #: A match starts at the head of a run of such signs or where the last match has ended,
 #: which keeps the search linear; possessive loops need no stack.
@@ -53,21 +58,24 @@ def terms(text: Column) -> Column:
 
 
 def disclosing(spark: SparkSession, docs: DataFrame, near: DataFrame, held: dict[str, int], disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """Terms that disclose a kind: (term, kind, disclosure), from all of ``docs``.
+    """Terms that disclose a kind or one entity: (term, kind, value, disclosure), from all of ``docs``.
 
-    ``near`` is what ``neighbours`` returns, ``held`` the number of documents with each kind.
+    ``near`` is what ``neighbours`` returns, ``held`` the number of documents with each
+    kind. The value is ``WHOLE`` for a kind.
     """
     total = docs.count()
     met = near.select(F.explode("terms").alias("term"), "asked").select("term", F.explode("asked").alias("x")).select("term", "x.*")
     # A value of one document alone is a different one wherever it stands; only shared ones are told apart.
-    met = met.groupBy("term", "kind", "value").agg(F.count("*").alias("n"), F.sum("single").alias("single"))
-    joint = met.groupBy("term", "kind").agg(F.sum(F.when(F.col("value") == WHOLE, F.col("n"))).alias("joint"), (F.sum("single") + F.count(F.when(F.col("value") != WHOLE, 1))).alias("values")).filter(F.col("values") >= support)
+    met = written(spark, met.groupBy("term", "kind", "value").agg(F.count("*").alias("joint"), F.sum("single").alias("single"), F.first("held").alias("held")), "pii-met")
+    whole = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, n)])[F.col("kind")].cast("long")
+    joint = met.groupBy("term", "kind").agg(F.sum(F.when(F.col("value") == WHOLE, F.col("joint"))).alias("joint"), (F.sum("single") + F.count(F.when(F.col("value") != WHOLE, 1))).alias("values")).filter(F.col("values") >= support)
+    joint = joint.select("term", "kind", F.lit(WHOLE).cast("long").alias("value"), "joint", whole.alias("held"))
+    joint = joint.unionByName(met.filter((F.col("value") != WHOLE) & (F.col("joint") >= TOGETHER)).drop("single"))
     everywhere = docs.select(F.explode(terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("alone"))
-    share = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, n / total)])[F.col("kind")]
-    information = -F.log2(share)
-    mutual = F.log2(F.col("joint") / (F.col("alone") * share))
+    information = F.log2(F.lit(total) / F.col("held"))
+    mutual = F.log2(F.col("joint") * F.lit(float(total)) / (F.col("alone") * F.col("held")))
     scored = joint.join(everywhere, "term").withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-    return scored.filter(F.col("disclosure") >= disclosed).select("term", "kind", "disclosure")
+    return written(spark, scored.filter(F.col("disclosure") >= disclosed).select("term", "kind", "value", "disclosure"), "pii-flagged")
 
 
 def neighbours(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -75,16 +83,17 @@ def neighbours(spark: SparkSession, found: DataFrame) -> DataFrame:
 
     Returns row, terms, and asked: for each kind there an entry of value ``WHOLE`` with the
     number of its different values that no other document holds, and an entry for each of
-    its values that others hold as well.
+    its values that others hold as well, with the number of documents that hold it.
     """
     hashed = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x["v"]).alias("value"))
     kinds = F.flatten(F.array(*[F.array_distinct(F.transform(k, hashed(k))) for k in KINDS]))
     there = written(spark, found.select("row", F.explode(kinds).alias("x")).select("row", "x.*"), "pii-values")
     counts = there.groupBy("kind", "value").agg(F.count("*").alias("held")).filter("held > 1")
     shared = F.col("held").isNotNull()
-    by = there.join(counts, ["kind", "value"], "left").groupBy("row", "kind").agg(F.count(F.when(~shared, 1)).alias("single"), F.collect_list(F.when(shared, F.col("value"))).alias("shared"))
-    entry = lambda value, single: F.struct("kind", value.alias("value"), single.alias("single"))
-    asked = F.concat(F.array(entry(F.lit(WHOLE).cast("long"), F.col("single"))), F.transform("shared", lambda v: entry(v, F.lit(0).cast("long"))))
+    by = there.join(counts, ["kind", "value"], "left").groupBy("row", "kind").agg(F.count(F.when(~shared, 1)).alias("single"), F.collect_list(F.when(shared, F.struct("value", "held"))).alias("shared"))
+    entry = lambda value, single, held: F.struct("kind", value.alias("value"), single.alias("single"), held.alias("held"))
+    none = F.lit(0).cast("long")
+    asked = F.concat(F.array(entry(F.lit(WHOLE).cast("long"), F.col("single"), none)), F.transform("shared", lambda v: entry(v["value"], none, v["held"])))
     asked = by.groupBy("row").agg(F.flatten(F.collect_list(asked)).alias("asked"))
     return written(spark, found.select("row", terms(F.col("text")).alias("terms")).join(asked, "row"), "pii-near")
 
@@ -105,9 +114,11 @@ def find(spark: SparkSession, docs: DataFrame, disclosed: float = DISCLOSED, sup
     found = base.filter(some)
     held = {k: n for k, n in base.agg(*[F.count(F.when(F.size(k) > 0, 1)).alias(k) for k in KINDS]).first().asDict().items() if n}
     near = neighbours(spark, found)
-    told = near.select("row", F.explode(F.filter("asked", lambda x: x["value"] == WHOLE)["kind"]).alias("kind"), "terms").select("row", "kind", F.explode("terms").alias("term"))
-    flagged = disclosing(spark, slim, near, held, disclosed, support) if held else spark.createDataFrame([], "term string, kind string, disclosure double")
-    told = told.join(flagged, ["term", "kind"]).groupBy("row").agg(F.collect_set("term").alias("telling"))
+    told = near.select("row", "terms", F.explode("asked").alias("x")).select("row", "x.kind", "x.value", F.explode("terms").alias("term"))
+    flagged = disclosing(spark, slim, near, held, disclosed, support) if held else spark.createDataFrame([], "term string, kind string, value long, disclosure double")
+    # Apart, since the terms of kinds are few enough to broadcast.
+    told = reduce(DataFrame.unionByName, [told.filter(x).join(flagged.filter(x), ["term", "kind", "value"]) for x in (F.col("value") == WHOLE, F.col("value") != WHOLE)])
+    told = told.groupBy("row").agg(F.collect_set("term").alias("telling"))
     added = found.join(told, "row").select("row", F.filter(matches(F.col("text"), TERM), lambda x: F.array_contains("telling", F.lower(x["v"]))).alias("term"))
     out = base.join(added, "row", "left").withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int,v:string>>")))
     plain = F.concat(*[labelled(F.col(k), k, i) for i, k in enumerate(KINDS)])

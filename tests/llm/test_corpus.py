@@ -259,6 +259,13 @@ def test_every_entity_of_a_document_counts(spark):
     assert all("zanzibar" not in out[i].sanitised for i in range(20))
 
 
+def test_terms_that_disclose_one_entity(spark):
+    rows = [(i, f"quagga{'x' * i} wrote from lone{i % 3}@host.example {['quokka', 'numbat', 'bilby'][i % 3]}", "en", "s") for i in range(9)] + [(100 + i, "they wrote plain words", "en", "s") for i in range(400)]
+    out = {r.doc_id: r for r in pii.find(spark, table(spark, rows), sanitised=True).collect()}
+    assert not any(w in out[i].sanitised for i in range(9) for w in ("quokka", "numbat", "bilby"))
+    assert all("wrote" in out[i].sanitised for i in range(9))
+
+
 def test_battery_tells_keys_from_words(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(60)]
