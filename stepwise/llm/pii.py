@@ -1,7 +1,8 @@
 """Personal data, and the terms that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Information theory
-finds what else reveals them: over all documents, how much a term t tells of the presence
+finds what else reveals them: over all documents, how much a term t (any run of letters
+and digits) tells of the presence
 of an entity kind c is their pointwise mutual information, and set against the kind's own
 information content log2(1 / p(c)) it is the share of the secret that t discloses. Terms
 above a threshold, next to enough different entities (all those of a document count), are
@@ -36,7 +37,8 @@ BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a kind as a whole among the hashes of its values.
 WHOLE = 0
-TERM = r"\p{L}{4,}+"
+#: Letters with their marks, and digits.
+TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
 def digits(text: Column) -> Column:
@@ -54,7 +56,7 @@ def entities(text: Column) -> dict[str, Column]:
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.char_length(x) >= 4))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
 
 
 def disclosing(spark: SparkSession, docs: DataFrame, near: DataFrame, held: dict[str, int], disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:

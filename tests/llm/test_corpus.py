@@ -266,6 +266,12 @@ def test_terms_that_disclose_one_entity(spark):
     assert all("wrote" in out[i].sanitised for i in range(9))
 
 
+def test_short_terms_and_terms_with_digits(spark):
+    rows = [(i, f"ask Kim or {i} 李 or user42 at mail{i}x@host.example", "en", "s") for i in range(20)] + [(100 + i, "ask or stand at 7 words", "en", "s") for i in range(200)]
+    out = {r.doc_id: r for r in pii.find(spark, table(spark, rows), sanitised=True).collect()}
+    assert out[3].sanitised == "ask <TERM> or 3 <TERM> or <TERM> at <EMAIL>"
+
+
 def test_battery_tells_keys_from_words(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(60)]
