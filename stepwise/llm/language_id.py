@@ -1,7 +1,7 @@
 """Language identification with a blended-spectrum string kernel.
 
 k(x, z) is the cosine of two texts' sets of byte n-grams (2 to 4 bytes, presence only,
-limited to the n-grams that most sample texts hold). Nyström landmarks turn the kernel
+limited to the n-grams that most sample texts of a language hold, for each language in turn). Nyström landmarks turn the kernel
 into a feature space in which one-versus-rest ridge regression is solved exactly; a block
 of texts is scored by two matrix products.
 """
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_blocks
-from .grams import draw, frequencies, lowered, matrix, numbering, presence, remainder
+from .grams import BITS, draw, frequencies, lowered, matrix, numbering, presence, remainder
 
 SIZES = (2, 3, 4)
-WIDTH = 4096
-LANDMARKS = 160
+#: N-grams and landmarks, and the least of them for each language.
+WIDTH, WIDTH_EACH = 4096, 128
+LANDMARKS, LANDMARKS_EACH = 160, 4
 RIDGE = 1e-2
 #: The documented bound of the training sample: expected texts of each language, the most
 #: languages, the longest text that may enter the sample.
@@ -46,30 +47,49 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
 
 
+def chosen_grams(texts: list[str], label: np.ndarray, languages: int) -> np.ndarray:
+    """N-grams by their rank within a language, of equal ranks that of the larger share of texts first."""
+    best = np.full(1 << BITS, 1 << BITS, np.int32)
+    most = np.zeros(1 << BITS, np.float32)
+    for k in range(languages):
+        own = [texts[i] for i in np.flatnonzero(label == k)]
+        seen = frequencies(own, SIZES)
+        order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
+        best[order] = np.minimum(best[order], np.arange(len(order), dtype=np.int32))
+        most[order] = np.maximum(most[order], seen[order] / np.float32(len(own)))
+    order = np.lexsort((-most, best))[: max(WIDTH, WIDTH_EACH * languages)]
+    return order[most[order] > 0]
+
+
 def fit(texts: list[str], languages: list[str]) -> Model | None:
     """Kernel ridge regression on lowered ``texts``; None without texts."""
     if not texts:
         return None
     names = sorted(set(languages))
-    seen = frequencies(texts, SIZES)
-    chosen = np.argsort(-seen, kind="stable")[:WIDTH]
-    chosen = chosen[seen[chosen] > 0]
+    index = {x: k for k, x in enumerate(names)}
+    label = np.array([index[x] for x in languages])
+    chosen = chosen_grams(texts, label, len(names))
     width = max(1, len(chosen))
     columns = numbering(chosen)
-    rows = unit(matrix(texts, SIZES, columns, width))
-    label = np.array([names.index(x) for x in languages])
     # Landmarks take turns by language, so that a rare one has as many as a common one.
     turn = np.zeros(len(label), int)
     for k in range(len(names)):
         turn[label == k] = np.arange((label == k).sum())
-    marks = rows[np.lexsort((label, turn))[:LANDMARKS]].T
+    leading = np.lexsort((label, turn))[: max(LANDMARKS, LANDMARKS_EACH * len(names))]
+    marks = unit(matrix([texts[i] for i in leading], SIZES, columns, width)).T
     value, vector = np.linalg.eigh((marks.T @ marks).astype(float))
     value = np.maximum(value, 1e-6)
     root = vector / np.sqrt(value)
-    features = np.hstack([rows @ marks @ root, np.ones((len(rows), 1))])
-    target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = (1 / np.bincount(label, minlength=len(names)))[label][:, None] * len(label) / len(names)
-    solved = np.linalg.solve(features.T @ (weight * features) + RIDGE * np.eye(features.shape[1]), features.T @ (weight * target))
+    # The normal equations are summed up block by block: rows of n-grams are wide.
+    left, right = RIDGE * np.eye(len(leading) + 1), np.zeros((len(leading) + 1, len(names)))
+    for i in range(0, len(texts), 1024):
+        at = slice(i, i + 1024)
+        rows = unit(matrix(texts[at], SIZES, columns, width))
+        features = np.hstack([rows @ marks @ root, np.ones((len(rows), 1))])
+        left += features.T @ (weight[at] * features)
+        right += features.T @ (weight[at] * np.where(label[at][:, None] == np.arange(len(names)), 1.0, -1.0))
+    solved = np.linalg.solve(left, right)
     return Model(names, columns, marks.astype(np.float32), (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 

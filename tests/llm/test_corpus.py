@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +346,40 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert sum(b >= 0.7 for b in clean) <= 0.06 * len(clean)
 
 
+def test_rare_languages_of_their_own_scripts():
+    rng = random.Random(13)
+
+    def texts(signs, n, size):
+        lexicon = ["".join(rng.choice(signs) for _ in range(rng.randint(2, 7))) for _ in range(400)]
+        return [" " + " ".join(rng.choice(lexicon) for _ in range(size)) + " " for _ in range(n)]
+
+    made = [(x, f"common{k}") for k in range(4) for x in texts("abcdefghijklmnopqrstuvwxyz", 150, 300)]
+    rare = [(x, name) for name, signs in (("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("ka", "აბგდევზთიკლმნოპჟრსტუფქ")) for x in texts(signs, 60, 20)]
+    asked, learnt = rare[::2], rare[1::2]
+    model = language_id.fit(*map(list, zip(*made, *learnt)))
+    data = b"".join(x.encode() for x, _ in asked)
+    starts = [0]
+    for x, _ in asked:
+        starts.append(starts[-1] + len(x.encode()))
+    data, starts = np.frombuffer(data, np.uint8), np.array(starts)
+    own = language_id.presence(data, starts, language_id.SIZES, model.columns, model.landmarks.shape[0]).sum(1)
+    assert own.min() >= 40
+    found = model.scores(data, starts).argmax(1)
+    assert [model.languages[k] for k in found] == [name for _, name in asked]
+
+
+def test_every_language_has_landmarks():
+    names = [f"l{k:03d}" for k in range(200)]
+    signs = [chr(0x4E00 + 40 * k + j) for k in range(200) for j in range(40)]
+    text = lambda k, i: " " + "".join(signs[40 * k + (7 * i + j * (i + 1)) % 40] for j in range(12)) + " "
+    model = language_id.fit([text(k, i) for k in range(200) for i in range(3)], [x for x in names for _ in range(3)])
+    assert model.landmarks.shape[1] >= 200
+    raw = [text(k, 5).encode() for k in range(200)]
+    starts = np.cumsum([0, *map(len, raw)])
+    found = model.scores(np.frombuffer(b"".join(raw), np.uint8), starts).argmax(1)
+    assert [model.languages[k] for k in found] == names
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
