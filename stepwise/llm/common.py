@@ -45,15 +45,15 @@ def sharing(rows: int, per_task: int = 20_000, least: int = 16) -> int:
     return max(least, -(-rows // per_task))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, parts: int = 1000, widest: int = 4096) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, parts: int = 1000) -> DataFrame:
     """Join ``rows``, a table, with ``groups``, a table of one row for each ``key``.
 
     ``count`` is the number of rows with the key, so fewer than ``parts`` keys can hold
-    more than one of ``parts`` equal shares of the rows. Those of at most ``widest`` bytes
-    are broadcast, and their rows stay where they are; all others are shuffled. Rows with a
-    null key are dropped.
+    more than one of ``parts`` equal shares of the rows. They are broadcast, and their rows
+    stay where they are; all others are shuffled. Keys are short: numbers or digests. Rows
+    with a null key are dropped.
     """
-    often = (F.col(count) * parts > rows.count()) & (F.octet_length(key) <= widest)
+    often = F.col(count) * parts > rows.count()
     spread = F.broadcast(groups.filter(often))
     rest = rows.join(F.broadcast(groups.filter(often).select(key)), key, "left_anti")
     return rows.join(spread, key).unionByName(rest.join(groups.filter(~often), key))

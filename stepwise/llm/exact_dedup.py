@@ -117,6 +117,19 @@ def verified_digest(docs: DataFrame, kinds: tuple[str, ...] = DIGESTS) -> str:
     raise ValueError(f"two chunks share a digest under each of {', '.join(kinds)}")
 
 
+def verified_key(made: DataFrame, sizes: tuple[int, ...] = (256, 512)) -> DataFrame:
+    """Adds ``key``, a digest of the recipe under which all distinct recipes differ.
+
+    Recipes of long texts are long themselves, so they are identified as chunks are: by a
+    digest that is held against all distinct recipes once.
+    """
+    distinct = made.select("recipe").distinct()
+    for size in sizes:
+        if not distinct.groupBy(F.sha2("recipe", size).alias("key")).count().filter("count > 1").limit(1).count():
+            return made.withColumn("key", F.sha2("recipe", size))
+    raise ValueError("two recipes share a digest")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, kinds: tuple[str, ...] = DIGESTS) -> DataFrame:
     """Group equal texts of ``docs`` (doc_id, text) and choose one row of each group.
 
@@ -129,14 +142,21 @@ def exact_copies(spark: SparkSession, docs: DataFrame, kinds: tuple[str, ...] =
     kind = verified_digest(slim, kinds)
     made = slim.mapInArrow(recipes(kind), "doc_id long, recipe binary, text_sha256 string")
     made = written(spark, made.withColumn("row", F.monotonically_increasing_id()), "recipes")
-    groups = made.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
-    joined = with_groups(made, written(spark, groups, "groups"), "recipe", "group_size")
+    made = verified_key(made).drop("recipe")
+    groups = made.groupBy("key").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
+    joined = with_groups(made, written(spark, groups, "groups"), "key", "group_size")
     return joined.select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_copies`` keeps, with all their columns."""
-    marks = exact_copies(spark, docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sum"))
-    named = docs.withColumn("kept_sum", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).withColumn("kept_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    marks = marks.withColumn("kept_id", F.coalesce("kept_id", F.lit(-(2**63))))
-    return named.join(marks, ["kept_id", "kept_sum"], "left_semi").dropDuplicates(["kept_id", "kept_sum"]).select(*docs.columns)
+    """The rows of ``docs`` that ``exact_copies`` keeps, with all their columns.
+
+    Of rows that repeat both id and text one stays, whichever. Null texts are empty ones,
+    a null id is an id of its own and the smallest. No rows give no rows. Columns of
+    ``docs`` are returned as they are; their names can't clash.
+    """
+    known = lambda x: (x.isNull().alias("unnamed"), F.coalesce(x, F.lit(0).cast("long")).alias("id"))
+    marks = exact_copies(spark, docs).filter("kept").select(*known(F.col("doc_id")), F.col("text_sha256").alias("sum"))
+    rows = docs.select(*known(F.col("doc_id").cast("long")), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sum"), F.struct("*").alias("row"))
+    keys = ["unnamed", "id", "sum"]
+    return rows.join(marks, keys, "left_semi").dropDuplicates(keys).select("row.*")
