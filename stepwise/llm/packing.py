@@ -39,14 +39,15 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in printed]
         self.shown = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(hidden)}
         self.older: dict = {}
         self.piece = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
-        self.other = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]").search
+        # Signs beyond the fast path, and added tokens, which stand for themselves.
+        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.other = re.compile("|".join([rf"[^\t\n\r\x20-\x7e{LETTERS}]", *map(re.escape, added)])).search
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)

@@ -70,7 +70,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     rng = random.Random(5)
     signs = ["the", " and", "\n", "  ", "é", "ß", "漢", "1234", "'re", "!?", "\x1c", "\xa0", "²", "<|endoftext|>", "_", "zzzz", "\r\n "]
     rows = [(i, "".join(rng.choice(signs) + rng.choice(["", " "]) for _ in range(rng.choice([0, 3, 50, 700, 1500]))), "en", "s") for i in range(150)]
