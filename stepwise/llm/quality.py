@@ -1,16 +1,18 @@
 """Quality rules under weak supervision.
 
-Every rule looks at one measure of a text and votes good, votes bad or abstains. Which
-rules are right how often is not given: expectation-maximisation estimates each rule's
-rates among good and among bad texts from the votes of all documents, and a text's verdict
-is the posterior probability of being good under them. All that the estimation needs of the
-corpus is how often each pattern of votes occurs.
+Every rule looks at one measure of a text and votes good, votes bad or abstains. Rules that
+measure one thing in several ways form a family. Which rules are right how often is not
+given: expectation-maximisation estimates from the votes of all documents how texts
+divide into good ones, texts that fail in one family and texts that fail in all, and how
+each rule votes on those that fail in its family and on all others. Where rules of a family
+disagree, the more accurate ones prevail; a rule that has nothing to agree with keeps the
+accuracy it is given. Accuracies stay above one half, so a bad vote never speaks for a
+text. A text's verdict is the posterior probability of being good. All that the estimation
+needs of the corpus is how often each pattern of votes occurs.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,14 @@ RULES = {
     "repeats": ("repeat_rate", 0.2, 0.4, "many"),
     "distinct": ("distinct_rate", 0.3, 0.15, "few"),
 }
+#: Rules of a family measure one thing.
+FAMILIES = (("short",), ("word_length",), ("symbols",), ("lines", "repeats", "distinct"))
 VERDICT = 0.5
-ROUNDS, PRIOR, RIGHT, STRENGTH = 200, 0.8, 0.8, 10.0
+#: At the start: the share of good texts, how often a rule is right on a text that fails in
+#: its family, how often one bad vote alone is right, how often a rule abstains; and the
+#: number of texts that this counts as in the estimation.
+PRIOR, RIGHT, PRECISION, ABSTAINS, STRENGTH = 0.8, 0.8, 0.8, 0.1, 10.0
+ROUNDS = 2000
 
 
 def measured(batches):
@@ -119,34 +127,52 @@ def votes(frame: DataFrame) -> DataFrame:
     return frame.withColumn("pattern", F.concat(*signs))
 
 
-def posterior(counts: dict[str, int]) -> dict[str, float]:
+def held(rates: np.ndarray, right: int) -> np.ndarray:
+    """Rates of good and bad votes (columns 0 and 1) with at least half of the votes ``right``."""
+    voting = rates[:, 0] + rates[:, 1]
+    out = rates.copy()
+    out[:, right] = np.maximum(out[:, right], voting / 2)
+    out[:, 1 - right] = voting - out[:, right]
+    return out
+
+
+def posterior(counts: dict[str, int], families: tuple[tuple[int, ...], ...] = ()) -> dict[str, float]:
     """Probability of good by vote pattern, after expectation-maximisation over all counts.
 
-    Each rule has, among good and among bad texts, rates of its three votes. They start
-    where a rule is right in ``RIGHT`` of its votes, and so much prior evidence
-    (``STRENGTH`` texts) stays with them, so that rare votes don't run off to 0 or 1.
+    ``families`` lists the places of each family's rules in a pattern; without families all
+    rules watch for the same failure. Classes are good texts (0), texts that fail in one
+    family (1 to their number) and texts that fail in all (last). A rule has two sets of
+    rates for its three votes: one on texts that fail in its family and one on all others.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], float)
-    vote = np.array([["gb-".index(x) for x in p] for p in patterns])
-    rules = vote.shape[1]
-    start = np.array([[RIGHT * 0.9, (1 - RIGHT) * 0.9, 0.1], [(1 - RIGHT) * 0.9, RIGHT * 0.9, 0.1]])
-    rates = np.repeat(start[:, None], rules, 1)
-    prior = PRIOR
+    cast = np.array([[[x == v for v in "gb-"] for x in p] for p in patterns], float)
+    rules, kinds = cast.shape[1], len(families) + 2
+    fails = np.zeros((kinds, rules), bool)
+    for k, family in enumerate(families):
+        fails[k + 1, list(family)] = True
+    fails[-1] = True
+    shares = np.array([PRIOR, *[(1 - PRIOR) / (kinds - 1)] * (kinds - 1)])
+    false = shares[1] / shares[0] * RIGHT * (1 - PRECISION) / PRECISION
+    votes = 1 - ABSTAINS
+    bad = np.tile([(1 - RIGHT) * votes, RIGHT * votes, ABSTAINS], (rules, 1))
+    fine = np.tile([(1 - false) * votes, false * votes, ABSTAINS], (rules, 1))
+    first = shares, bad, fine
     for _ in range(ROUNDS):
-        log = np.array([[math.log(p) + sum(math.log(rates[k, r, v]) for r, v in enumerate(row)) for row in vote] for k, p in ((0, prior), (1, 1 - prior))])
-        good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
-        part = np.array([good, 1 - good]) * weight
-        new = np.array([[[part[k][vote[:, r] == v].sum() + STRENGTH * start[k, v] for v in range(3)] for r in range(rules)] for k in range(2)])
-        new /= new.sum(2, keepdims=True)
-        share = (part[0].sum() + STRENGTH * PRIOR) / (weight.sum() + STRENGTH)
-        moved = np.abs(new - rates).max()
-        rates, prior = new, float(np.clip(share, 1e-6, 1 - 1e-6))
-        if moved < 1e-9:
+        each = [np.einsum("prv,rv->pr", cast, np.log(x)) for x in (fine, bad)]
+        log = np.log(shares) + each[0] @ ~fails.T + each[1] @ fails.T
+        part = np.exp(log - log.max(1, keepdims=True))
+        part /= part.sum(1, keepdims=True)
+        mass = part * weight[:, None]
+        new = [np.einsum("pk,kr,prv->rv", mass, on.astype(float), cast) + STRENGTH * start for on, start in ((fails, first[1]), (~fails, first[2]))]
+        moved = bad
+        bad, fine = (held(x / x.sum(1, keepdims=True), right) for x, right in zip(new, (1, 0), strict=True))
+        shares = (mass.sum(0) + STRENGTH * first[0]) / (weight.sum() + STRENGTH)
+        if np.abs(bad - moved).max() < 1e-9:
             break
-    return dict(zip(patterns, good.tolist(), strict=True))
+    return dict(zip(patterns, part[:, 0].tolist(), strict=True))
 
 
 def judged(spark: SparkSession, docs: DataFrame, verdict: float = VERDICT) -> DataFrame:
@@ -161,7 +187,8 @@ def judged(spark: SparkSession, docs: DataFrame, verdict: float = VERDICT) -> Da
     table = written(spark, votes(slim.mapInArrow(measured, kinds)), "quality")
     # At most 3 ** len(RULES) patterns exist.
     counts = {r["pattern"]: r["count"] for r in table.groupBy("pattern").count().collect()}
-    rows = sorted(posterior(counts).items())
+    places = {rule: k for k, rule in enumerate(RULES)}
+    rows = sorted(posterior(counts, tuple(tuple(places[x] for x in family) for family in FAMILIES)).items())
     known = spark.createDataFrame(rows, "pattern string, p_good double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = table.join(F.broadcast(known), "pattern", "left").withColumn("base_failed", failed)
