@@ -99,11 +99,13 @@ ORACLES = {
         f AS (SELECT min(n) AS n FROM c WHERE NOT capped),
         t AS (SELECT source, source_size, CASE WHEN capped AND n < coalesce((SELECT n FROM f), n + 1) THEN (3 * source_size)::DOUBLE
             ELSE w * (SELECT c2.budget / c2.weight FROM c c2 WHERE c2.n = (SELECT n FROM f)) END AS target FROM c),
-        q AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-            (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before))
-            + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)))::BIGINT AS taken FROM q""",
+        q AS (SELECT d.*, row_number() OVER () AS row, dense_rank() OVER (ORDER BY d.source NULLS LAST) AS queue, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT row, queue, target, source_size * k.range + before AS ahead, size, unnest(range(0, size, 64)) AS head FROM q, range(0, 3) k),
+        z AS (SELECT row, queue, least(size, head + 64) - head AS words, ahead + least(size, head + 64) AS place, (ahead + least(size, head + 64)) / target AS finish FROM e),
+        o AS (SELECT row, words, coalesce(sum(words) OVER (ORDER BY finish, queue, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS served FROM z),
+        g AS (SELECT row, sum(greatest(0, least(words, (SELECT sum(size)::BIGINT FROM d) - served)))::BIGINT AS taken FROM o GROUP BY row)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN g ON q.row = g.row""",
 }
 
 
