@@ -45,7 +45,7 @@ def sharing(rows: int, per_task: int = 20_000, least: int = 16) -> int:
     return max(least, -(-rows // per_task))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, parts: int = 1000) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, parts: int = 1000) -> DataFrame:
     """Join ``rows``, a table, with ``groups``, a table of one row for each ``key``.
 
     ``count`` is the number of rows with the key, so fewer than ``parts`` keys can hold

@@ -43,13 +43,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """The text with every labelled span replaced by ``<KIND>``; overlapping spans by the first's."""
+def replaced(text: Column, spans: Column, blank: bool = False) -> Column:
+    """The text with every labelled span replaced by ``<KIND>``; overlapping spans by the first's.
+
+    With ``blank`` a line feed stands for a span.
+    """
 
     def step(a: Column, x: Column) -> Column:
         # What an earlier span has covered is gone already.
         fresh = x["s"] >= a["p"]
-        added = F.concat(F.expr("''"), text.substr(a["p"] + 1, x["s"] - a["p"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        tag = F.lit("\n") if blank else F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        added = F.concat(F.expr("''"), text.substr(a["p"] + 1, x["s"] - a["p"]), tag)
         return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.concat(a["o"], F.when(fresh, added).otherwise(F.lit(""))).alias("o"))
 
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step, lambda a: F.concat(a["o"], text.substr(a["p"] + 1, F.char_length(text))))
