@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,19 +47,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer words are hashed one by one; words of so many bytes are hashed together.
+LONG_WORD, HASHED = 1 << 12, 1 << 20
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in random numbers of its bytes."""
-    if not len(begin):
-        return np.empty(0, np.uint64)
+    """A 64-bit hash of each word: a polynomial in random numbers of its bytes.
+
+    Words are taken in blocks, so that memory doesn't grow with the text.
+    """
     table = np.random.default_rng(64).integers(1, 1 << 63, 256, dtype=np.uint64)
-    size = end - begin
-    power = np.full(int(size.max()), ODD | np.uint64(1))
+    power = np.full(LONG_WORD, ODD | np.uint64(1))
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint64)
+    size = end - begin
+    long = size > LONG_WORD
+    size = np.where(long, 1, size)
     offset = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(offset, size)
-    value = table[data[place + np.repeat(begin, size)]] * power[place]
-    return mixed(np.add.reduceat(value, offset))
+    out = np.empty(len(begin), np.uint64)
+    lo = 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(offset, offset[lo] + HASHED)))
+        first, part = offset[lo:hi] - offset[lo], size[lo:hi]
+        place = np.arange(int(part.sum())) - np.repeat(first, part)
+        value = table[data[place + np.repeat(begin[lo:hi], part)]] * power[place]
+        out[lo:hi] = mixed(np.add.reduceat(value, first))
+        lo = hi
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[begin[k] : end[k]].tobytes())
+    return out
 
 
 #: Bytes of words for the classifiers: digits, lower-case letters and all beyond ASCII.

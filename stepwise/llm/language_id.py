@@ -23,9 +23,10 @@ SIZES = (2, 3, 4)
 WIDTH, WIDTH_EACH = 4096, 128
 LANDMARKS, LANDMARKS_EACH = 160, 4
 RIDGE = 1e-2
-#: The documented bound of the training sample: expected texts of each language, the most
-#: languages, the longest text that may enter the sample.
-PER_LANGUAGE, LANGUAGES, LONGEST = 400, 200, 20_000
+#: The documented bound of the training sample: expected texts of each language, and of all
+#: languages together unless that leaves one fewer than ``LEAST``; the longest text that may
+#: enter the sample. Of a language with longer texts only, its shortest one enters whole.
+PER_LANGUAGE, ALL, LEAST, LONGEST = 400, 80_000, 8, 20_000
 UNKNOWN = "und"
 
 
@@ -94,13 +95,26 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """A bounded, reproducible sample of the labelled rows of ``docs`` (doc_id, text, lang)."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """A bounded, reproducible sample of the labelled rows of ``docs`` (doc_id, text, lang).
+
+    Every language that is a label is in it. Rows that repeat count once.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= LONGEST
+    # One row for each label.
+    counts = known.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n")).collect()
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
-    rows = known.filter(draw() < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("doc_id", lowered().alias("text"), "lang").collect()
+    each = min(PER_LANGUAGE, max(LEAST, ALL // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / max(1, r["n"])))])
+    # A language with few texts has all its rows drawn; one with many, by chance, enough of them.
+    drawn = known.filter(short & (draw() < share[F.col("lang")]))
+    rows = drawn.select("doc_id", lowered().alias("text"), "lang").distinct().collect()
+    missing = sorted({r["lang"] for r in counts} - {r["lang"] for r in rows})
+    if missing:
+        least = F.min_by(F.struct("doc_id", "text"), F.struct(F.length("text"), "doc_id", "text"))
+        rest = known.filter(F.col("lang").isin(missing)).groupBy("lang").agg(least.alias("one"))
+        rows += rest.select("one.doc_id", lowered(F.col("one.text")).alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 

@@ -53,10 +53,8 @@ def measured(batches):
             out = {c: np.zeros(n, np.int64) for c in columns}
             begin, end, row = words(data, starts, INSIDE)
             out["n_words"] = np.bincount(row, minlength=n)
-            lead = (data & 0xC0) != 0x80
-            rows = np.repeat(np.arange(n), np.diff(starts))
-            out["word_chars"] = np.bincount(rows[lead & INSIDE[data]], minlength=n)
-            out["n_symbols"] = np.bincount(rows[SYMBOLS[data]], minlength=n)
+            out["word_chars"] = counted(((data & 0xC0) != 0x80) & INSIDE[data], starts)
+            out["n_symbols"] = counted(SYMBOLS[data], starts)
             if len(begin):
                 code = word_hashes(data, begin, end)
                 salted = mixed(row.astype(np.uint64) + np.uint64(1))
@@ -66,6 +64,15 @@ def measured(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *[pa.array(out[c], pa.int64()) for c in columns]], ["doc_id", *columns])
 
 
+def counted(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are marked."""
+    out = np.zeros(len(starts) - 1, np.int64)
+    there = np.flatnonzero(np.diff(starts))
+    if len(there):
+        out[there] = np.add.reduceat(marks, starts[there], dtype=np.int64)
+    return out
+
+
 def per_row(places: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row[places], minlength=n)
 

@@ -54,7 +54,7 @@ def shards(spark: SparkSession, docs: DataFrame, limit: int = LIMIT, key: str =
     the only kind of shard that can be above the limit. No rows give no rows.
     """
     slim = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), key_hash(F.col(key)).alias("hash"))
-    rows = written(spark, slim, "shard-rows")
+    rows = written(spark, slim.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     todo, done, parts = rows, 0, []
     to = bits or min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + FINER)
@@ -65,7 +65,7 @@ def shards(spark: SparkSession, docs: DataFrame, limit: int = LIMIT, key: str =
         parts.append(placed.filter(F.col("depth").isNotNull()).select("key", "n_bytes", digits.alias("shard"), "depth", "shard_bytes", "shard_docs"))
         if directory.filter(F.col("depth").isNull()).limit(1).count() == 0:
             break
-        todo = placed.filter(F.col("depth").isNull()).select("key", "n_bytes", "hash")
+        todo = placed.filter(F.col("depth").isNull()).select("key", "n_bytes", "hash", "row")
         if to == BITS:
             parts.append(pages(todo, limit))
             break
@@ -80,8 +80,9 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of keys whose rows exceed the limit."""
     salts = sharing(rows.count(), least=16)
     frame = rows.withColumn("big", (F.col("n_bytes") > limit // 2).cast("int")).withColumn("one", F.lit(1).cast("long"))
-    frame = frame.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    frame = numbered(frame, ["hash", "big"], ["key", "n_bytes"], "part", {"before": "n_bytes", "ordinal": "one"})
+    # Row numbers stand in a table, so a task that runs again deals the same pages.
+    frame = frame.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    frame = numbered(frame, ["hash", "big"], ["row"], "part", {"before": "n_bytes", "ordinal": "one"})
     page = F.when(F.col("big") == 1, F.concat(F.lit("b"), F.col("ordinal").cast("string"))).otherwise(F.floor(F.col("before") / (limit // 2)).cast("string"))
     name = F.concat(F.expr(f"lpad(conv(hash, 10, 2), {BITS}, '0')"), F.lit("/"), page)
     frame = frame.select("key", "n_bytes", name.alias("shard"), F.lit(BITS).alias("depth"))

@@ -28,8 +28,9 @@ WIDTH = 1536
 EVIDENCE = 12.0
 #: The least estimated share of toxic texts among those that hold such an n-gram.
 SHARE = 0.6
-#: The documented bound of the training sample: expected rows, and the longest text in it.
-POSITIVES, UNLABELLED, LONGEST = 2000, 6000, 60_000
+#: The documented bound of the training sample: expected rows, expected characters of each of
+#: its two groups, and the longest text in it.
+POSITIVES, UNLABELLED, CHARACTERS, LONGEST = 2000, 6000, 1 << 25, 60_000
 #: Texts up to so many bytes are not damped.
 PLAIN = 3000
 THRESHOLD = 0.7
@@ -106,15 +107,19 @@ def fit(toxic: list[str], unlabelled: list[str], prior: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
-    """Fit on a bounded, reproducible sample of rows whose crc32(doc_id) mod ``modulus`` isn't ``held_out``."""
+    """Fit on a bounded, reproducible sample of rows whose crc32(doc_id) mod ``modulus`` isn't ``held_out``.
+
+    Rows that repeat both id and text count once.
+    """
     allowed = remainder("doc_id", modulus) != held_out
     known = labels.filter(allowed & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & allowed & (F.length("text") <= LONGEST))
-    total = docs.count()
-    ids = known.filter((F.col("toxic") == 1) & (draw(seed=1) < F.lit(min(1.0, POSITIVES / max(1, positive))))).select("doc_id").distinct().limit(2 * POSITIVES)
-    toxic = short.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", lowered().alias("text")).collect()
-    other = short.filter(draw(seed=2) < F.lit(min(1.0, UNLABELLED / max(1, total)))).select("doc_id", lowered().alias("text")).collect()
+    total, length = short.agg(F.count("*"), F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()
+    share = lambda rows, there: min(1.0, rows / max(1, there), CHARACTERS / max(1.0, length * there))
+    ids = known.filter((F.col("toxic") == 1) & (draw(seed=1) < F.lit(share(POSITIVES, positive)))).select("doc_id").distinct().limit(2 * POSITIVES)
+    toxic = short.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", lowered().alias("text")).distinct().collect()
+    other = short.filter(draw(seed=2) < F.lit(share(UNLABELLED, total))).select("doc_id", lowered().alias("text")).distinct().collect()
     ordered = lambda rows: [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
     return fit(ordered(toxic), ordered(other), positive / n if n else 0.0)
 
