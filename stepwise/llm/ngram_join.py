@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks, written
+from .common import text_blocks, with_groups, written
 from .grams import mixed, word_hashes, words
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ TOKENS = 24
 #: Largest bucket for one comparison, sets in a block, tokens by which a bucket splits.
 SMALL, BLOCK, BRANCHES = 400, 800, 3
 DEPTH, DENSE = 8, 0.5
+#: Texts of one comparison have about so many bytes together, but for two longer ones.
+TASK_BYTES = 1 << 24
 LEADERS = 3
 INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
@@ -102,7 +104,7 @@ def embedded(batches):
             raw = code.tobytes()
             keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * TOKENS, TOKENS), pa.int32()), pa.array(tokens.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(keys, pa.binary()), lists], ["doc_id", "mark", "words", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(keys, pa.binary()), pa.array(np.diff(starts), pa.int64()), lists], ["doc_id", "mark", "words", "bytes", "tokens"])
 
 
 def mark(text: Column) -> Column:
@@ -111,45 +113,49 @@ def mark(text: Column) -> Column:
 
 
 def branch(nodes: DataFrame, path: Column, used: Column, branches: int) -> DataFrame:
-    """One bucket for each of the tokens that the path samples: (path, node, used)."""
+    """One bucket for each of the tokens that the path samples: (path, node, bytes, used)."""
     free = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: ~F.array_contains(used, i))
     order = F.array_sort(F.transform(free, lambda i: F.struct(F.xxhash64(path, i).alias("h"), i.alias("i"))))
-    chosen = nodes.select("node", "tokens", path.alias("from"), used.alias("was"), F.explode(F.slice(order, 1, branches)).alias("c"))
+    chosen = nodes.select("node", "bytes", "tokens", path.alias("from"), used.alias("was"), F.explode(F.slice(order, 1, branches)).alias("c"))
     token = F.col("tokens")[F.col("c.i")]
-    return chosen.select(F.xxhash64("from", "c.i", token).alias("path"), "node", F.concat("was", F.array("c.i")).alias("used"))
+    return chosen.select(F.xxhash64("from", "c.i", token).alias("path"), "node", "bytes", F.concat("was", F.array("c.i")).alias("used"))
 
 
-def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """The comparisons to make: (task, path, node, side) from ``nodes`` (node, tokens).
+def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, most: int = TASK_BYTES) -> DataFrame:
+    """The comparisons to make: (task, path, node, side) from ``nodes`` (node, tokens, bytes if known).
 
     Within a task, every two nodes are compared, but with two sides only across them.
     """
+    if "bytes" not in nodes.columns:
+        nodes = nodes.withColumn("bytes", F.lit(0).cast("long"))
     # Run r starts from token r; the tokens of all starts are used up for splits.
     starts = list(range(runs(recall, depth)))
     used = F.array(*[F.lit(r) for r in starts])
     first = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col("tokens")[r].alias("token")) for r in starts]))
-    rows = nodes.select("node", first.alias("c")).select(F.xxhash64(F.lit("run"), "c.run", "c.token").alias("path"), "node", used.alias("used"))
+    rows = nodes.select("node", "bytes", first.alias("c")).select(F.xxhash64(F.lit("run"), "c.run", "c.token").alias("path"), "node", "bytes", used.alias("used"))
     tasks = []
     for level in range(depth + 1):
-        sized = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = written(spark, rows.join(sized, "path"), "paths")
+        sized = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).filter("n > 1")
+        rows = written(spark, with_groups(rows, written(spark, sized, "path-sizes"), "path", "n"), "paths")
         # Small buckets are gathered, whose size is bounded; equal ones are compared once.
-        few = rows.filter(F.col("n") <= small).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("members"))
+        fits = (F.col("n") <= small) & (F.col("total") <= most)
+        few = rows.filter(fits).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("members"))
         few = few.groupBy("members").agg(F.min("path").alias("path"))
         tasks.append(few.select(F.col("path").alias("task"), "path", F.explode("members").alias("node"), F.lit(0).alias("side")))
-        large = rows.filter(F.col("n") > small)
+        large = rows.filter(~fits)
         if large.limit(1).count() == 0:
             break
-        large = written(spark, large.join(nodes, "node"), "large-paths")
+        large = written(spark, large.join(nodes.select("node", "tokens"), "node"), "large-paths")
         dense = F.lit(True)
         if level < depth:
             # The mean similarity of a bucket's sets to some of its members, chosen by hash.
-            leaders = large.groupBy("path").agg(*[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
+            leaders = large.groupBy("path").agg(F.count("*").alias("members"), *[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
             same = sum(F.size(F.filter(F.zip_with("tokens", f"leader{k}", lambda x, y: x == y), lambda x: x)) for k in range(LEADERS))
-            alike = large.join(leaders, "path").groupBy("path").agg((F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
-            large = large.join(written(spark, alike, "alike-paths"), "path")
+            led = with_groups(large, written(spark, leaders, "leaders"), "path", "members")
+            alike = led.groupBy("path").agg(F.count("*").alias("members"), (F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
+            large = with_groups(large, written(spark, alike, "alike-paths"), "path", "members")
             dense = F.col("alike") >= DENSE
-        tasks.append(blocks(large.filter(dense), block))
+        tasks.append(blocks(large.filter(dense), block, most))
         rows = branch(large.filter(~dense), F.col("path"), F.col("used"), BRANCHES)
     out = tasks[0]
     for part in tasks[1:]:
@@ -157,9 +163,12 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
     return out
 
 
-def blocks(rows: DataFrame, block: int) -> DataFrame:
-    """All pairs of blocks of a bucket, each a task of its own."""
-    parts = F.ceil(F.col("n") / block).cast("int")
+def blocks(rows: DataFrame, block: int, most: int = TASK_BYTES) -> DataFrame:
+    """All pairs of blocks of a bucket, each a task of its own.
+
+    A block has ``block`` sets, and half of ``most`` bytes, on average.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 2 / most)).cast("int")
     dealt = rows.select("path", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int").alias("own"))
     met = dealt.select("path", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     task = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
@@ -210,6 +219,15 @@ def stars(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def met_before(paths: list[list[int]], path: int) -> np.ndarray:
+    """Which two of the nodes are both on a path that comes before ``path``."""
+    before = {p: k for k, p in enumerate({p for x in paths for p in x if p < path})}
+    on = np.zeros((len(paths), len(before)), np.float32)
+    for i, x in enumerate(paths):
+        on[i, [before[p] for p in x if p < path]] = 1
+    return on @ on.T > 0
+
+
 def compared(table: pa.Table) -> pa.Table:
     """An applyInArrow function on the rows of one task: links of each node, and its star.
 
@@ -223,12 +241,7 @@ def compared(table: pa.Table) -> pa.Table:
         bounds = np.searchsorted(of, np.arange(hi - lo + 1))
         sets += [np.unique(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
     links = linked(sets, table.column("side").to_numpy())
-    paths = [frozenset(x) for x in table.column("paths").to_pylist()]
-    count = [0] * len(node)
-    for i, j in np.argwhere(np.triu(links)).tolist():
-        if path == min(paths[i] & paths[j]):
-            count[i] += 1
-            count[j] += 1
+    count = (links & ~met_before(table.column("paths").to_pylist(), path)).sum(1).tolist()
     star = stars(links)
     found = np.flatnonzero(links.any(1)).tolist()
     return pa.table({"node": pa.array([node[i] for i in found], pa.int64()), "star": pa.array([xxhash.xxh3_64_intdigest(f"{table.column('task')[0].as_py()}:{node[star[i]]}") >> 1 for i in found], pa.int64()), "links": pa.array([count[i] for i in found], pa.int64())})
@@ -243,9 +256,11 @@ def components(spark: SparkSession, joined: DataFrame) -> DataFrame:
     label = written(spark, joined.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
         least = joined.join(label, "node").groupBy("star").agg(F.min("component").alias("component"))
-        new = joined.join(least, "star").groupBy("node").agg(F.min("component").alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+        passed = written(spark, joined.join(least, "star").groupBy("node").agg(F.min("component").alias("component")), "passed-labels")
+        # Every label is a node, whose own label is taken.
+        further = passed.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        followed = passed.groupBy("component").agg(F.count("*").alias("n")).join(further, "component")
+        new = with_groups(passed, followed, "component", "n").select("node", F.col("further").alias("component"))
         new = written(spark, new, "labels")
         changed = new.join(label.withColumnRenamed("component", "before"), "node").filter("component != before").limit(1).count()
         label = new
@@ -270,36 +285,46 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     """What ``near_copies`` returns, with each row's mark."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     asked = slim.select("doc_id", mark(F.col("text")).alias("mark"), "text")
-    made = asked.mapInArrow(embedded, "doc_id long, mark long, words binary, tokens array<int>").withColumn("row", F.monotonically_increasing_id())
+    made = asked.mapInArrow(embedded, "doc_id long, mark long, words binary, bytes long, tokens array<int>").withColumn("row", F.monotonically_increasing_id())
     made = written(spark, made, "shingles")
     texts = made.filter(F.col("words").isNotNull()).groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
-    members = made.join(texts, "words", "left").withColumn("node", F.coalesce("node", "row")).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    alone = made.filter(F.col("words").isNull()).withColumns({"node": F.col("row"), "copies": F.lit(1).cast("long")})
+    members = with_groups(made, written(spark, texts, "different-texts"), "words", "copies").unionByName(alone)
     first = (F.col("row") == F.col("node")) & F.col("words").isNotNull()
-    members = written(spark, members.select("row", "doc_id", "mark", "node", "copies", F.when(first, F.col("tokens")).alias("tokens")), "members")
+    members = written(spark, members.select("row", "doc_id", "mark", "node", "copies", "bytes", F.when(first, F.col("tokens")).alias("tokens")), "members")
     nodes = members.filter(F.col("tokens").isNotNull())
-    tasks = written(spark, buckets(spark, nodes.select("node", "tokens"), recall, **sizes), "tasks")
+    tasks = written(spark, buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes), "tasks")
     on = tasks.select("node", "path").distinct().groupBy("node").agg(F.collect_list("path").alias("paths"))
-    wanted = nodes.join(on, "node").select("node", "paths", named("doc_id"), "mark")
-    full = slim.select(named("doc_id"), mark(F.col("text")).alias("mark"), "text").join(wanted, ["id", "mark"])
-    full = full.dropDuplicates(["id", "mark", "node"]).select("node", "paths", "text")
+    wanted = nodes.join(on, "node").select("node", "paths", *named(F.col("doc_id")), "mark")
+    keys = ["unnamed", "id", "mark"]
+    full = slim.select(*named(F.col("doc_id")), mark(F.col("text")).alias("mark"), "text").join(wanted, keys)
+    full = full.dropDuplicates([*keys, "node"]).select("node", "paths", "text")
     links = written(spark, tasks.join(full, "node").groupBy("task").applyInArrow(compared, "node long, star long, links long"), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     label = components(spark, links.select("node", "star").distinct())
-    out = members.select("row", "doc_id", "mark", "node", "copies").join(counts, "node", "left").join(label, "node", "left")
-    out = out.withColumn("component", F.coalesce("component", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    # One row for each different text first: copies follow it.
+    each = members.filter("row = node").select("node", "copies").join(counts, "node", "left").join(label, "node", "left")
+    each = each.select("node", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    out = written(spark, with_groups(members.select("row", "doc_id", "mark", "node"), written(spark, each, "text-classes"), "node", "copies"), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    heads = out.groupBy("component").agg(least.alias("head"))
-    return out.join(heads, "component").select("doc_id", F.col("head.doc_id").alias("class_id"), "copies", "n_links", (F.col("row") == F.col("head.row")).alias("kept"), "mark")
+    heads = out.groupBy("component").agg(least.alias("head"), F.count("*").alias("members"))
+    out = with_groups(out, written(spark, heads, "class-heads"), "component", "members")
+    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), "copies", "n_links", (F.col("row") == F.col("head.row")).alias("kept"), "mark")
 
 
-def named(doc_id: str) -> Column:
-    """The id with a stand-in for null, to join on."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id")
+def named(doc_id: Column) -> tuple[Column, Column]:
+    """The id in two columns without nulls, to join on."""
+    return doc_id.isNull().alias("unnamed"), F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("id")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_copies`` keeps, with all their columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = classes(spark, docs).filter("kept").select(named("doc_id"), "mark").withColumnsRenamed({"id": "kept_id", "mark": "kept_mark"})
-    slim = docs.withColumns({"kept_id": named("doc_id"), "kept_mark": mark(text)})
-    return slim.join(kept, ["kept_id", "kept_mark"], "left_semi").dropDuplicates(["kept_id", "kept_mark"]).select(*docs.columns)
+    """The rows of ``docs`` that ``near_copies`` keeps, with all their columns.
+
+    Of rows that repeat both id and text one stays, whichever. Texts without words are kept,
+    one of each id and text; a null id is an id of its own and the largest. No rows give no
+    rows. Columns of ``docs`` are returned as they are; their names can't clash.
+    """
+    keys = ["unnamed", "id", "mark"]
+    kept = classes(spark, docs).filter("kept").select(*named(F.col("doc_id")), "mark")
+    rows = docs.select(*named(F.col("doc_id")), mark(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"), F.struct("*").alias("row"))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")
