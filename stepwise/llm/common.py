@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_folder, written  # noqa: F401
+from ..operators.storage import temporaries, written  # noqa: F401
+
 
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
