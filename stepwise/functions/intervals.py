@@ -35,6 +35,26 @@ def text() -> Column:
     return F.concat(F.lit("["), F.col("valid_from").cast("string"), F.lit(", "), F.coalesce(F.col("valid_to").cast("string"), F.lit("inf")), F.lit(")"))
 
 
+def tupled(value: Column) -> Column:
+    """A value with its interval, as one struct."""
+    return F.struct(value.alias("value"), "valid_from", "valid_to")
+
+
+def pairs(history: DataFrame, value: str, key: str = "key", step: str = "step", name: str = "following") -> DataFrame:
+    """Each version with the value of its key's next one; null after the last."""
+    return history.withColumn(name, F.lead(value).over(Window.partitionBy(key).orderBy(step)))
+
+
+def split(history: DataFrame, now: int, step: str = "step") -> tuple[DataFrame, DataFrame]:
+    """Versions from before a step, and those of the step itself."""
+    return history.filter(F.col(step) < now), history.filter(F.col(step) == now)
+
+
+def first_last(history: DataFrame, value: str, key: str = "key", step: str = "step") -> DataFrame:
+    """The first and the last value of each key."""
+    return history.groupBy(key).agg(F.min_by(value, step).alias("first_value"), F.max_by(value, step).alias("last_value"))
+
+
 def normalized(history: DataFrame, values: list[str], key: str = "key", step: str = "step") -> DataFrame:
     """Temporal normal form: drop versions equal to the key's version before."""
     order = Window.partitionBy(key).orderBy(step)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 min_option = F.min
@@ -34,6 +34,11 @@ def has_single() -> Column:
     return F.count(F.lit(1)) == 1
 
 
+def defined(frame: DataFrame, value: str) -> DataFrame:
+    """The rows whose value is defined."""
+    return frame.filter(F.col(value).isNotNull())
+
+
 def pair_sequence(a: Column, b: Column) -> Column:
     return F.array(a, b)
 

@@ -76,8 +76,11 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     Unlike ``checkpoint()`` the plan runs once only, and the files outlive executors. They
     are deleted with the enclosing ``temporaries``, else when the application ends.
     """
-    path = fresh_path(spark, name)
-    frame.write.option("compression", "zstd").parquet(path)
+    return table(spark, frame, fresh_path(spark, name))
+
+
+def table(spark: SparkSession, frame: DataFrame, path: str) -> DataFrame:
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -90,20 +93,19 @@ def temporaries(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], Data
     """
     if not hasattr(_state, "open"):
         _state.open = []
+    outer = _state.open[-1] if _state.open else None
     mine: list[str] = []
     _state.open.append(mine)
 
     def keep(frame: DataFrame, name: str) -> DataFrame:
-        out = written(spark, frame, name)
-        if len(_state.open) > 1:
-            _state.open[-2].append(mine.pop())
-        else:
-            mine.pop()
-        return out
+        path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if outer is not None:
+            outer.append(path)
+        return table(spark, frame, path)
 
     try:
         yield keep
     finally:
-        _state.open.pop()
+        _state.open.remove(mine)
         for path in mine:
             removed(spark, path)

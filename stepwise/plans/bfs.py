@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import Never
+from ..operators.storage import temporaries, written
 from ..sources.adjacency import add_missing as closed
 from .iterate import StepContext, iterate, schimmy_iterate, temporal_iterate
 
 
-
-
 def empty():
     return F.array().cast("array<bigint>")
 
@@ -26,7 +25,7 @@ def check(graph: DataFrame) -> None:
         raise ValueError("vertex keys repeat")
     if graph.filter("distance != 0").limit(1).count():
         raise ValueError("seeds must have distance 0")
-    ends = graph.select(F.explode("adjacencies").alias("key"))
+    ends = graph.select(F.explode("adjacencies").alias("key")).distinct()
     if ends.join(graph, "key", "left_anti").limit(1).count():
         raise ValueError("edges lead to vertices without a row")
 
@@ -52,25 +51,41 @@ def temporal_messages(delta: DataFrame, context: StepContext) -> DataFrame:
 
 
 def nearest(messages: DataFrame, context: StepContext | None = None) -> DataFrame:
-    """Smallest distance and all neighbours of each key."""
-    return messages.groupBy("key").agg(F.min("distance").alias("distance"), F.sort_array(F.flatten(F.collect_list("adjacencies"))).alias("adjacencies"))
+    """Smallest distance and all neighbours of each key.
+
+    Messages without neighbours, however many a key gets, add nothing to its list.
+    """
+    lists = F.collect_list(F.when(F.size("adjacencies") > 0, F.col("adjacencies")))
+    return messages.groupBy("key").agg(F.min("distance").alias("distance"), F.sort_array(F.flatten(lists)).alias("adjacencies"))
 
 
-def naive(graph: DataFrame, steps: int) -> DataFrame:
-    return iterate(graph, naive_messages, nearest, steps)
+def naive(graph: DataFrame, steps: int, checked: bool = True, **job) -> DataFrame:
+    """Everything moves: each step sends vertices, neighbours and messages. ``checked`` graphs are well formed."""
+    if not checked:
+        return iterate(graph, naive_messages, nearest, steps, **job)
+    spark = graph.sparkSession
+    with temporaries(spark) as keep:
+        graph = written(spark, graph, "graph")
+        check(graph)
+        found = iterate(graph, naive_messages, nearest, steps, **job)
+        return found if steps and job.get("folder") else keep(found, "naive")
 
 
-def schimmy(graph: DataFrame, steps: int, partitions: int | None = None) -> DataFrame:
-    """The adjacencies stay where they are; distances and messages move."""
+def schimmy(graph: DataFrame, steps: int, partitions: int | None = None, checked: bool = True) -> DataFrame:
+    """The adjacencies and distances stay where they are; messages move."""
 
     def mapper(static: DataFrame, state: DataFrame, context: StepContext) -> DataFrame:
-        return schimmy_messages(static.join(state, "key"))
+        return schimmy_messages(static.join(state, "key")).groupBy("key").agg(F.min("distance").alias("distance"))
 
     def reducer(state: DataFrame, messages: DataFrame, context: StepContext) -> DataFrame:
         return state.unionByName(messages).groupBy("key").agg(F.min("distance").alias("distance"))
 
-    reached = graph.filter(F.col("distance").isNotNull()).select("key", "distance")
-    return schimmy_iterate(graph.select("key", "adjacencies"), reached, mapper, reducer, steps, partitions).select("key", "distance", "adjacencies")
+    def validate(static: DataFrame) -> None:
+        check(static.withColumnRenamed("start", "distance"))
+
+    reached = graph.select("key", "distance").filter(F.col("distance").isNotNull())
+    found = schimmy_iterate(graph.withColumnRenamed("distance", "start"), reached, mapper, reducer, steps, partitions, validate if checked else None)
+    return found.select("key", "distance", "adjacencies")
 
 
 def visits(step: int | None) -> list:
@@ -106,8 +121,11 @@ def summarize(history: DataFrame) -> DataFrame:
     return history.groupBy("key").agg(*visits(None)).select("key", distance_of().alias("distance"), F.coalesce("first_adjacencies", empty()).alias("adjacencies"))
 
 
-def temporal(graph: DataFrame, steps: int, checkpoint=Never(), add_missing: bool = False, on_step_end=None) -> DataFrame:
-    """Only changes travel: a vertex's distance is the step in which it first changed."""
+def temporal(graph: DataFrame, steps: int, checkpoint=Never(), add_missing: bool = False, checked: bool = True, **job) -> DataFrame:
+    """Only changes travel: a vertex's distance is the step in which it first changed.
+
+    ``checked`` graphs are well formed; with ``add_missing`` targets of edges get rows.
+    """
     if add_missing:
         graph = closed(graph)
-    return temporal_iterate(graph, temporal_messages, temporal_reduce, steps, summarize, checkpoint, on_step_end=on_step_end)
+    return temporal_iterate(graph, temporal_messages, temporal_reduce, steps, summarize, checkpoint, combine=DataFrame.distinct, validate=check if checked else None, **job)

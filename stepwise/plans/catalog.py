@@ -11,7 +11,7 @@ from ..functions.vertex import parse, render
 from ..operators import reducers, streams
 from ..operators.checkpoints import AtSteps
 from ..operators.history import History
-from ..operators.storage import shared_folder
+from ..operators.storage import fresh_path, written
 from ..sources import adjacency, files
 from . import bfs
 from .iterate import StepContext, copartitioned, merge_join
@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between suppliers and the parts they sold in large lots, both ways."""
-    sold = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") + 1000000).alias("p")).distinct()
-    return sold.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.src", "e.dst")
+    """Edges between orders and the parts in them, both ways; orders are even, parts odd."""
+    sold = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("o"), (F.col("l_partkey") * 2 + 1).alias("p")).distinct()
+    return sold.select(F.explode(F.array(F.struct(F.col("o").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("o").alias("dst")))).alias("e")).select("e.src", "e.dst")
 
 
 def sources(spark: SparkSession, *keys: int) -> DataFrame:
@@ -47,8 +47,8 @@ def distances(frame: DataFrame) -> DataFrame:
     return frame.select("key", "distance")
 
 
-EDGES = """e0 AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 1000000 AS p FROM lineitem WHERE l_quantity >= 50),
-    edges AS (SELECT s AS src, p AS dst FROM e0 UNION ALL SELECT p, s FROM e0)"""
+EDGES = """e0 AS (SELECT DISTINCT l_orderkey * 2 AS o, l_partkey * 2 + 1 AS p FROM lineitem),
+    edges AS (SELECT o AS src, p AS dst FROM e0 UNION ALL SELECT p, o FROM e0)"""
 
 
 def search_sql(steps: int, *keys: int) -> str:
@@ -152,12 +152,14 @@ def adjacency_concat(spark, sf_dir):
     return bfs.nearest(single).select("key", F.array_join("adjacencies", ",").alias("adjacencies"))
 
 
-@query(f"WITH {EDGES}, v AS (SELECT src AS key, count(*) AS degree FROM edges GROUP BY src), m AS (SELECT dst AS key, min(src) AS nearest FROM edges WHERE src < 50 GROUP BY dst) SELECT v.key, degree, nearest FROM v LEFT JOIN m ON v.key = m.key")
+@query(f"WITH {EDGES}, v AS (SELECT src AS key, count(*) AS degree FROM edges GROUP BY src), m AS (SELECT dst AS key, min(src) AS nearest FROM edges GROUP BY dst) SELECT v.key, degree, nearest FROM v LEFT JOIN m ON v.key = m.key")
 def schimmy_merge_join(spark, sf_dir):
     edges = pairs(spark, sf_dir)
     static = copartitioned(edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree")))
-    messages = edges.filter("src < 50").groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("nearest"))
-    return merge_join(static, messages)
+    messages = edges.groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("nearest"))
+    out = written(spark, merge_join(static, messages), "merge-join")
+    static.unpersist()
+    return out
 
 
 @query(f"{SPANS} SELECT key, step, value, valid_from, valid_to, valid_to IS NULL AS is_current FROM i")
@@ -189,12 +191,14 @@ def interval_accessors(spark, sf_dir):
 
 @query(f"WITH {USERS} SELECT key, arg_min(value, step) AS first_value, arg_max(value, step) AS last_value FROM h GROUP BY key")
 def first_last_version(spark, sf_dir):
-    return steps_of_users(spark, sf_dir).groupBy("key").agg(F.min_by("value", "step").alias("first_value"), F.max_by("value", "step").alias("last_value"))
+    return intervals.first_last(steps_of_users(spark, sf_dir), "value")
 
 
 @query(f"WITH {USERS} SELECT key, count(*) FILTER (WHERE step < 5) AS previous, count(*) FILTER (WHERE step = 5) AS current FROM h WHERE step <= 5 GROUP BY key")
 def previous_current_split(spark, sf_dir):
-    return steps_of_users(spark, sf_dir).filter("step <= 5").groupBy("key").agg(F.count(F.when(F.col("step") < 5, 1)).alias("previous"), F.count(F.when(F.col("step") == 5, 1)).alias("current"))
+    previous, current = intervals.split(steps_of_users(spark, sf_dir), 5)
+    count = lambda frame, name: frame.groupBy("key").agg(F.count("*").alias(name))
+    return count(previous, "previous").join(count(current, "current"), "key", "full").fillna(0, ["previous", "current"])
 
 
 @query(f"WITH {USERS} SELECT key, step, value FROM h WHERE step = 3")
@@ -304,7 +308,7 @@ def partition_assignment(spark, sf_dir):
 
 
 def adjacency_file(spark, sf_dir) -> str:
-    path = f"{shared_folder(spark)}/adjacency-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = fresh_path(spark, "adjacency")
     adjacency.write(graph(spark, sf_dir), path)
     return path
 
