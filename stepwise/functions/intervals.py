@@ -12,8 +12,10 @@ def validity(history: DataFrame, key: str = "key", step: str = "step", tie: list
     Versions of one step get empty intervals but for the last, in the order of ``tie``.
     """
     order = Window.partitionBy(key).orderBy(step, *(tie or []))
-    end = F.lead(step).over(order)
-    return history.withColumns({"valid_from": F.col(step), "valid_to": end}).withColumn("is_current", F.col("valid_to").isNull())
+    # The start is named above the window: a projection below it would hide that a union of
+    # bucketed tables is dealt by key.
+    ended = history.withColumn("valid_to", F.lead(step).over(order))
+    return ended.select(*history.columns, F.col(step).alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
 def contains(step: Column | int) -> Column:
