@@ -24,9 +24,10 @@ WIDTH, WIDTH_EACH = 4096, 128
 LANDMARKS, LANDMARKS_EACH = 160, 4
 RIDGE = 1e-2
 #: The documented bound of the training sample: expected texts of each language, and of all
-#: languages together unless that leaves one fewer than ``LEAST``; the longest text that may
-#: enter the sample. Of a language with longer texts only, its shortest one enters whole.
-PER_LANGUAGE, ALL, LEAST, LONGEST = 400, 80_000, 8, 20_000
+#: languages together unless that leaves one fewer than ``LEAST``; expected characters of all
+#: together, and the longest text that may enter the sample. A language that this leaves
+#: without a text enters with its shortest one, whole.
+PER_LANGUAGE, ALL, LEAST, CHARACTERS, LONGEST = 400, 80_000, 8, 1 << 26, 20_000
 UNKNOWN = "und"
 
 
@@ -102,11 +103,12 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.length("text") <= LONGEST
     # One row for each label.
-    counts = known.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n")).collect()
+    counts = known.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n"), F.coalesce(F.sum(F.when(short, F.length("text"))), F.lit(0)).alias("size")).collect()
     if not counts:
         return [], []
     each = min(PER_LANGUAGE, max(LEAST, ALL // len(counts)))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / max(1, r["n"])))])
+    part = lambda r: min(1.0, each / max(1, r["n"]), CHARACTERS / len(counts) / max(1, r["size"]))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], part(r))])
     # A language with few texts has all its rows drawn; one with many, by chance, enough of them.
     drawn = known.filter(short & (draw() < share[F.col("lang")]))
     rows = drawn.select("doc_id", lowered().alias("text"), "lang").distinct().collect()
