@@ -84,9 +84,9 @@ def bfs_temporal(spark, sf_dir):
     return distances(bfs.temporal(graph(spark, sf_dir), STEPS))
 
 
-@query(f"{search_sql(4)} SELECT key, distance FROM state")
+@query(f"{search_sql(STEPS)} SELECT key, distance FROM state")
 def bfs_temporal_checkpointed(spark, sf_dir):
-    return distances(bfs.temporal(graph(spark, sf_dir), 4, AtSteps((1, 3))))
+    return distances(bfs.temporal(graph(spark, sf_dir), STEPS, AtSteps((1, 3))))
 
 
 @query(f"{search_sql(4, 0, 1, 2)} SELECT key, distance FROM state")
@@ -101,14 +101,14 @@ def bfs_temporal_dangling(spark, sf_dir):
     return distances(bfs.temporal(led, 3, add_missing=True))
 
 
-@query(f"{search_sql(4)} SELECT key, distance FROM state")
+@query(f"{search_sql(STEPS)} SELECT key, distance FROM state")
 def bfs_naive(spark, sf_dir):
-    return distances(bfs.naive(graph(spark, sf_dir), 4))
+    return distances(bfs.naive(graph(spark, sf_dir), STEPS))
 
 
-@query(f"{search_sql(4)} SELECT key, distance FROM state")
+@query(f"{search_sql(STEPS)} SELECT key, distance FROM state")
 def bfs_schimmy(spark, sf_dir):
-    return distances(bfs.schimmy(graph(spark, sf_dir), 4))
+    return distances(bfs.schimmy(graph(spark, sf_dir), STEPS))
 
 
 @query(f"{search_sql(2)} SELECT key, distance FROM dist WHERE distance = 2")
