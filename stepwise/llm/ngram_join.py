@@ -7,7 +7,9 @@ tokens: sets that share the token of a bucket meet in it. Small buckets are comp
 brute force. A large one splits on further sampled tokens, three for each set, so that
 similar sets go on together while others part (no run starts from these tokens); but a bucket whose sets are alike on
 average, which no token would part, is compared in blocks. Runs repeat until a pair at the
-threshold is met with the target recall. Links are decided on the full sets.
+threshold is met with the target recall. Comparing by brute force first counts the tokens
+that two sets share, and then intersects the full sets where these are not far too few for
+the threshold; links are decided on the full sets alone.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ TOKENS = 24
 #: Largest bucket for one comparison, sets in a block, tokens by which a bucket splits.
 SMALL, BLOCK, BRANCHES = 400, 800, 3
 DEPTH, DENSE = 8, 0.5
+#: Two sets with fewer equal tokens are not compared any further. Pairs at the threshold have
+#: so few with a probability of seven in a million.
+AGREEING = 10
 #: Texts of one comparison have about so many bytes together, but for two longer ones.
 TASK_BYTES = 1 << 24
 LEADERS = 3
@@ -228,6 +233,30 @@ def met_before(paths: list[list[int]], path: int) -> np.ndarray:
     return on @ on.T > 0
 
 
+def agreeing(tokens: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which two of the nodes have tokens enough in common, and are to be compared: a symmetric matrix."""
+    same = np.zeros((len(tokens), len(tokens)), np.uint8)
+    for column in tokens.T:
+        same += column[:, None] == column[None]
+    out = (same >= AGREEING) & ((side[:, None] != side[None]) | (side[:, None] == 0))
+    np.fill_diagonal(out, False)
+    return out
+
+
+def parted(table: pa.Table) -> pa.Table:
+    """An applyInArrow function on the rows of one task: the parts in which links may lie.
+
+    Nodes that agree with none are left out; the others get the smallest member of their
+    component in ``part``.
+    """
+    tokens = table.column("tokens").combine_chunks()
+    may = agreeing(tokens.flatten().to_numpy().reshape(len(table), TOKENS), table.column("side").to_numpy())
+    node = table.column("node").to_numpy()
+    there = pa.array(np.flatnonzero(may.any(1)))
+    out = table.select(["task", "path", "node", "side"]).take(there)
+    return out.append_column("part", pa.array(node[stars(may)], pa.int64()).take(there))
+
+
 def compared(table: pa.Table) -> pa.Table:
     """An applyInArrow function on the rows of one task: links of each node, and its star.
 
@@ -294,6 +323,8 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     members = written(spark, members.select("row", "doc_id", "mark", "node", "copies", "bytes", F.when(first, F.col("tokens")).alias("tokens")), "members")
     nodes = members.filter(F.col("tokens").isNotNull())
     tasks = written(spark, buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes), "tasks")
+    parts = tasks.join(nodes.select("node", "tokens"), "node").groupBy("task").applyInArrow(parted, "task long, path long, node long, side int, part long")
+    tasks = written(spark, parts.select(F.xxhash64("task", "part").alias("task"), "path", "node", "side"), "parts")
     on = tasks.select("node", "path").distinct().groupBy("node").agg(F.collect_list("path").alias("paths"))
     wanted = nodes.join(on, "node").select("node", "paths", *named(F.col("doc_id")), "mark")
     keys = ["unnamed", "id", "mark"]
