@@ -47,14 +47,17 @@ def sharing(rows: int, per_task: int = 20_000, least: int = 16) -> int:
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, parts: int = 1000) -> DataFrame:
-    """Join ``rows``, a table, with ``groups``, a table of one row for each ``key``.
+    """Join ``rows`` with ``groups``, a written table of one row for each ``key``.
 
     ``count`` is the number of rows with the key, so fewer than ``parts`` keys can hold
-    more than one of ``parts`` equal shares of the rows. They are broadcast, and their rows
+    more than one of ``parts`` equal shares of all. They are broadcast, and their rows
     stay where they are; all others are shuffled. Keys are short: numbers or digests. Rows
     with a null key are dropped.
     """
-    often = F.col(count) * parts > rows.count()
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * parts > total
+    if not groups.filter(often).limit(1).count():
+        return rows.join(groups, key)
     spread = F.broadcast(groups.filter(often))
     rest = rows.join(F.broadcast(groups.filter(often).select(key)), key, "left_anti")
     return rows.join(spread, key).unionByName(rest.join(groups.filter(~often), key))

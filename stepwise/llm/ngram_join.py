@@ -285,15 +285,13 @@ def components(spark: SparkSession, joined: DataFrame) -> DataFrame:
     label = written(spark, joined.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
         least = joined.join(label, "node").groupBy("star").agg(F.min("component").alias("component"))
-        passed = written(spark, joined.join(least, "star").groupBy("node").agg(F.min("component").alias("component")), "passed-labels")
-        # Every label is a node, whose own label is taken.
-        further = passed.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        followed = passed.groupBy("component").agg(F.count("*").alias("n")).join(further, "component")
-        new = with_groups(passed, followed, "component", "n").select("node", F.col("further").alias("component"))
-        new = written(spark, new, "labels")
-        changed = new.join(label.withColumnRenamed("component", "before"), "node").filter("component != before").limit(1).count()
-        label = new
-        if not changed:
+        new = joined.join(least, "star").groupBy("node").agg(F.min("component").alias("component"))
+        # A label is a node, whose own label so far is taken if it is smaller.
+        further = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        new = new.join(further, "component").join(label.withColumnRenamed("component", "before"), "node")
+        new = written(spark, new.select("node", F.least("component", "further").alias("component"), "before"), "labels")
+        label = new.drop("before")
+        if not new.filter("component != before").limit(1).count():
             return label
 
 
@@ -316,12 +314,10 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     asked = slim.select("doc_id", mark(F.col("text")).alias("mark"), "text")
     made = asked.mapInArrow(embedded, "doc_id long, mark long, words binary, bytes long, tokens array<int>").withColumn("row", F.monotonically_increasing_id())
     made = written(spark, made, "shingles")
-    texts = made.filter(F.col("words").isNotNull()).groupBy("words").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
-    alone = made.filter(F.col("words").isNull()).withColumns({"node": F.col("row"), "copies": F.lit(1).cast("long")})
-    members = with_groups(made, written(spark, texts, "different-texts"), "words", "copies").unionByName(alone)
-    first = (F.col("row") == F.col("node")) & F.col("words").isNotNull()
-    members = written(spark, members.select("row", "doc_id", "mark", "node", "copies", "bytes", F.when(first, F.col("tokens")).alias("tokens")), "members")
-    nodes = members.filter(F.col("tokens").isNotNull())
+    # One row for each different text: that of its first row, which stands for all its copies.
+    first = F.min(F.struct("row", "doc_id", "mark", "bytes", "tokens"))
+    texts = made.filter(F.col("words").isNotNull()).groupBy("words").agg(first.alias("first"), F.count("*").alias("copies"))
+    nodes = written(spark, texts.select("words", "copies", F.col("first.row").alias("node"), "first.doc_id", "first.mark", "first.bytes", "first.tokens"), "different-texts")
     tasks = written(spark, buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes), "tasks")
     parts = tasks.join(nodes.select("node", "tokens"), "node").groupBy("task").applyInArrow(parted, "task long, path long, node long, side int, part long")
     tasks = written(spark, parts.select(F.xxhash64("task", "part").alias("task"), "path", "node", "side"), "parts")
@@ -333,10 +329,12 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     links = written(spark, tasks.join(full, "node").groupBy("task").applyInArrow(compared, "node long, star long, links long"), "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     label = components(spark, links.select("node", "star").distinct())
-    # One row for each different text first: copies follow it.
-    each = members.filter("row = node").select("node", "copies").join(counts, "node", "left").join(label, "node", "left")
-    each = each.select("node", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = written(spark, with_groups(members.select("row", "doc_id", "mark", "node"), written(spark, each, "text-classes"), "node", "copies"), "classes")
+    none = F.lit(0).cast("long")
+    each = nodes.select("words", "copies", "node").join(counts, "node", "left").join(label, "node", "left")
+    each = each.select("words", "copies", F.coalesce("n_links", none).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    rows = made.select("row", "doc_id", "mark", "words")
+    alone = rows.filter(F.col("words").isNull()).select("*", F.lit(1).cast("long").alias("copies"), none.alias("n_links"), F.col("row").alias("component"))
+    out = written(spark, with_groups(rows, written(spark, each, "text-classes"), "words", "copies").unionByName(alone).drop("words"), "classes")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     heads = out.groupBy("component").agg(least.alias("head"), F.count("*").alias("members"))
     out = with_groups(out, written(spark, heads, "class-heads"), "component", "members")
