@@ -161,6 +161,8 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
             large = with_groups(large, written(spark, alike, "alike-paths"), "path", "members")
             dense = F.col("alike") >= DENSE
         tasks.append(blocks(large.filter(dense), block, most))
+        if level == depth or large.filter(~dense).limit(1).count() == 0:
+            break
         rows = branch(large.filter(~dense), F.col("path"), F.col("used"), BRANCHES)
     out = tasks[0]
     for part in tasks[1:]:
@@ -191,7 +193,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     keep = shared[column]
     row, column = row[keep], number[column[keep]]
     out = np.zeros((n, n), np.float32)
-    step = max(1024, (1 << 23) // n)
+    # No wider than the shingles that are shared: most comparisons are of a few sets.
+    step = min(max(1024, (1 << 23) // n), max(1, int(shared.sum())))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for lo in range(0, int(shared.sum()), step):
