@@ -133,6 +133,10 @@ def test_half_written_tables_do_not_count(spark, tmp_path):
         store.write(frame, 1, checkpoint=True)
     os.remove(f"{store.path(1)}/_SUCCESS")
     assert (store.last(), store.listed(), store.listed(checkpoints=True)) == (0, [0], [1])
+    with dealt_plans(spark, 2):
+        store.write(frame.limit(3), 1)
+    assert (store.last(), store.read(1).count()) == (1, 3)
+    os.remove(f"{store.path(1)}/_SUCCESS")
     assert {r.step for r in step_files(spark, store.folder).collect()} == {0, 1}
     store.forget()
     assert spark.catalog.listTables() == [] or not any(t.name.startswith("stepwise_") for t in spark.catalog.listTables())
