@@ -54,10 +54,10 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count:
     stay where they are; all others are shuffled. Keys are short: numbers or digests. Rows
     with a null key are dropped.
     """
-    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    often = F.col(count) * parts > total
-    if not groups.filter(often).limit(1).count():
+    total, most = groups.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    if most * parts <= total:
         return rows.join(groups, key)
+    often = F.col(count) * parts > total
     spread = F.broadcast(groups.filter(often))
     rest = rows.join(F.broadcast(groups.filter(often).select(key)), key, "left_anti")
     return rows.join(spread, key).unionByName(rest.join(groups.filter(~often), key))

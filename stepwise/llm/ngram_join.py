@@ -146,19 +146,21 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
         fits = (F.col("n") <= small) & (F.col("total") <= most)
         few = rows.filter(fits).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("members"))
         few = few.groupBy("members").agg(F.min("path").alias("path"))
-        tasks.append(few.select(F.col("path").alias("task"), "path", F.explode("members").alias("node"), F.lit(0).alias("side")))
+        # Written level by level: one plan of all would keep the driver busy with all at once.
+        few = few.select(F.col("path").alias("task"), "path", F.explode("members").alias("node"), F.lit(0).alias("side"))
+        tasks.append(written(spark, few, "tasks"))
         large = rows.filter(~fits)
         if large.limit(1).count() == 0:
             break
         large = written(spark, large.join(nodes.select("node", "tokens"), "node"), "large-paths")
         dense = F.lit(True)
         if level < depth:
-            # The mean similarity of a bucket's sets to some of its members, chosen by hash.
-            leaders = large.groupBy("path").agg(F.count("*").alias("members"), *[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
+            # The mean similarity of a bucket's sets to some of its members, chosen by hash. Of
+            # these there are few rows, one for each large bucket.
+            leaders = large.groupBy("path").agg(*[F.min_by("tokens", F.xxhash64("node", F.lit(k))).alias(f"leader{k}") for k in range(LEADERS)])
             same = sum(F.size(F.filter(F.zip_with("tokens", f"leader{k}", lambda x, y: x == y), lambda x: x)) for k in range(LEADERS))
-            led = with_groups(large, written(spark, leaders, "leaders"), "path", "members")
-            alike = led.groupBy("path").agg(F.count("*").alias("members"), (F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
-            large = with_groups(large, written(spark, alike, "alike-paths"), "path", "members")
+            alike = large.join(leaders, "path").groupBy("path").agg((F.avg(same) / (LEADERS * TOKENS)).alias("alike"))
+            large = written(spark, large.join(alike, "path"), "alike-paths")
             dense = F.col("alike") >= DENSE
         tasks.append(blocks(large.filter(dense), block, most))
         if level == depth or large.filter(~dense).limit(1).count() == 0:
@@ -321,7 +323,7 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     first = F.min(F.struct("row", "doc_id", "mark", "bytes", "tokens"))
     texts = made.filter(F.col("words").isNotNull()).groupBy("words").agg(first.alias("first"), F.count("*").alias("copies"))
     nodes = written(spark, texts.select("words", "copies", F.col("first.row").alias("node"), "first.doc_id", "first.mark", "first.bytes", "first.tokens"), "different-texts")
-    tasks = written(spark, buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes), "tasks")
+    tasks = buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes)
     parts = tasks.join(nodes.select("node", "tokens"), "node").groupBy("task").applyInArrow(parted, "task long, path long, node long, side int, part long")
     tasks = written(spark, parts.select(F.xxhash64("task", "part").alias("task"), "path", "node", "side"), "parts")
     on = tasks.select("node", "path").distinct().groupBy("node").agg(F.collect_list("path").alias("paths"))
