@@ -30,7 +30,7 @@ EVIDENCE = 12.0
 SHARE = 0.6
 #: The documented bound of the training sample: expected rows, expected characters of each of
 #: its two groups, and the longest text in it.
-POSITIVES, UNLABELLED, CHARACTERS, LONGEST = 2000, 6000, 1 << 25, 60_000
+POSITIVES, UNLABELLED, CHARACTERS, LONGEST = 2000, 4000, 1 << 25, 60_000
 #: Texts up to so many bytes are not damped.
 PLAIN = 3000
 THRESHOLD = 0.7
