@@ -45,9 +45,9 @@ class Words(dict):
         self.shown = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(hidden)}
         self.older: dict = {}
         self.piece = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
-        # Signs beyond the fast path, and added tokens, which stand for themselves.
-        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.other = re.compile("|".join([rf"[^\t\n\r\x20-\x7e{LETTERS}]", *map(re.escape, added)])).search
+        # Signs beyond the fast path; added tokens stand for themselves wherever they are.
+        self.other = re.compile(rf"[^\t\n\r\x20-\x7e{LETTERS}]").search
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
@@ -62,7 +62,7 @@ class Words(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if self.other(text):
+        if self.other(text) or any(x in text for x in self.added):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, self.piece(text)))
 
