@@ -6,7 +6,9 @@ a probability equal to their similarity. A run sends every set down a path of sa
 tokens: sets that share the token of a bucket meet in it. Small buckets are compared by
 brute force. A large one splits on further sampled tokens, three for each set, so that
 similar sets go on together while others part (no run starts from these tokens); but a bucket whose sets are alike on
-average, which no token would part, is compared in blocks. Runs repeat until a pair at the
+average, which no token would part, is compared in blocks: each block is packed into one
+row, and what a pair of blocks finds is packed likewise, so that rows of sets don't multiply
+with the blocks of their bucket. Runs repeat until a pair at the
 threshold is met with the target recall. Comparing by brute force first counts the tokens
 that two sets share, and then intersects the full sets where these are not far too few for
 the threshold; links are decided on the full sets alone.
@@ -127,9 +129,10 @@ def branch(nodes: DataFrame, path: Column, used: Column, branches: int) -> DataF
 
 
 def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, most: int = TASK_BYTES) -> DataFrame:
-    """The comparisons to make: (task, path, node, side) from ``nodes`` (node, tokens, bytes if known).
+    """What to compare: (task, path, node, side, sides) from ``nodes`` (node, tokens, bytes if known).
 
-    Within a task, every two nodes are compared, but with two sides only across them.
+    A row for each node and path. Within a task, every two nodes are compared. Where a path
+    has several sides, each a task, so are every two nodes of the path across its sides.
     """
     if "bytes" not in nodes.columns:
         nodes = nodes.withColumn("bytes", F.lit(0).cast("long"))
@@ -147,7 +150,7 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
         few = rows.filter(fits).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("members"))
         few = few.groupBy("members").agg(F.min("path").alias("path"))
         # Written level by level: one plan of all would keep the driver busy with all at once.
-        few = few.select(F.col("path").alias("task"), "path", F.explode("members").alias("node"), F.lit(0).alias("side"))
+        few = few.select(F.col("path").alias("task"), "path", F.explode("members").alias("node"), F.lit(0).alias("side"), F.lit(1).alias("sides"))
         tasks.append(written(spark, few, "tasks"))
         large = rows.filter(~fits)
         if large.limit(1).count() == 0:
@@ -173,16 +176,14 @@ def buckets(spark: SparkSession, nodes: DataFrame, recall: float = RECALL, small
 
 
 def blocks(rows: DataFrame, block: int, most: int = TASK_BYTES) -> DataFrame:
-    """All pairs of blocks of a bucket, each a task of its own.
+    """Deal the nodes of a bucket into blocks: its sides, each a task.
 
     A block has ``block`` sets, and half of ``most`` bytes, on average.
     """
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 2 / most)).cast("int")
-    dealt = rows.select("path", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int").alias("own"))
-    met = dealt.select("path", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    task = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return met.select(task.alias("task"), "path", "node", side.alias("side"))
+    side = F.pmod(F.xxhash64("node"), F.col("sides").cast("long")).cast("int")
+    dealt = rows.select("path", "node", parts.alias("sides")).withColumn("side", side)
+    return dealt.select(F.xxhash64("path", "side").alias("task"), "path", "node", "side", "sides")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -255,30 +256,114 @@ def parted(table: pa.Table) -> pa.Table:
     component in ``part``.
     """
     tokens = table.column("tokens").combine_chunks()
-    may = agreeing(tokens.flatten().to_numpy().reshape(len(table), TOKENS), table.column("side").to_numpy())
+    may = agreeing(tokens.flatten().to_numpy().reshape(len(table), TOKENS), np.zeros(len(table), int))
     node = table.column("node").to_numpy()
     there = pa.array(np.flatnonzero(may.any(1)))
-    out = table.select(["task", "path", "node", "side"]).take(there)
+    out = table.select(["task", "path", "node"]).take(there)
     return out.append_column("part", pa.array(node[stars(may)], pa.int64()).take(there))
 
 
+def hashed(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    """The set of shingles of each text, in order."""
+    sets: list[np.ndarray] = []
+    for lo, hi, data, starts in text_blocks(texts):
+        made, of, _, _ = shingles(data, starts)
+        bounds = np.searchsorted(of, np.arange(hi - lo + 1))
+        sets += [np.unique(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return sets
+
+
+def star_id(of: int, node: int) -> int:
+    """The number of the star around a node in a task or on a path."""
+    return xxhash.xxh3_64_intdigest(f"{of}:{node}") >> 1
+
+
 def compared(table: pa.Table) -> pa.Table:
     """An applyInArrow function on the rows of one task: links of each node, and its star.
 
     Two nodes may meet on several paths; their link counts on the first that both are on.
     """
     node = table.column("node").to_pylist()
-    path = table.column("path")[0].as_py()
-    sets: list[np.ndarray] = []
-    for lo, hi, data, starts in text_blocks(table.column("text")):
-        made, of, _, _ = shingles(data, starts)
-        bounds = np.searchsorted(of, np.arange(hi - lo + 1))
-        sets += [np.unique(made[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-    links = linked(sets, table.column("side").to_numpy())
+    task, path = table.column("task")[0].as_py(), table.column("path")[0].as_py()
+    links = linked(hashed(table.column("text")), np.zeros(len(node), int))
     count = (links & ~met_before(table.column("paths").to_pylist(), path)).sum(1).tolist()
     star = stars(links)
     found = np.flatnonzero(links.any(1)).tolist()
-    return pa.table({"node": pa.array([node[i] for i in found], pa.int64()), "star": pa.array([xxhash.xxh3_64_intdigest(f"{table.column('task')[0].as_py()}:{node[star[i]]}") >> 1 for i in found], pa.int64()), "links": pa.array([count[i] for i in found], pa.int64())})
+    return pa.table({"node": pa.array([node[i] for i in found], pa.int64()), "star": pa.array([star_id(task, node[star[i]]) for i in found], pa.int64()), "links": pa.array([count[i] for i in found], pa.int64())})
+
+
+PACKED = "path long, side int, sides int, node array<long>, paths array<array<long>>, tokens array<int>, sizes array<int>, sets binary"
+FOUND = "path long, side int, node array<long>, head array<long>, links array<long>"
+
+
+def packed(table: pa.Table) -> pa.Table:
+    """An applyInArrow function on the rows of one block: the block as one row (``PACKED``)."""
+    table = table.sort_by("node")
+    sets = hashed(table.column("text"))
+    tokens = table.column("tokens").combine_chunks().flatten()
+    one = {k: table.column(k)[:1].combine_chunks() for k in ("path", "side", "sides")}
+    one |= {"node": pa.array([table.column("node").to_numpy()], pa.list_(pa.int64())), "paths": pa.array([table.column("paths").to_pylist()], pa.list_(pa.list_(pa.int64())))}
+    one |= {"tokens": pa.array([tokens.to_numpy()], pa.list_(pa.int32())), "sizes": pa.array([[len(s) for s in sets]], pa.list_(pa.int32()))}
+    return pa.table(one | {"sets": pa.array([np.concatenate(sets).tobytes()], pa.binary())})
+
+
+def across(table: pa.Table) -> pa.Table:
+    """An applyInArrow function on a pair of packed blocks, or one block by itself (``FOUND``).
+
+    A row for each block: its nodes, the smallest node of each one's component (-1 where
+    it has no link), and the links that count here, as in ``compared``.
+    """
+    rows = table.to_pylist()
+    one = rows[0]["low"] == rows[0]["high"]
+    if len(rows) == 1 and not one:  # no node was dealt into the other block
+        rows = []
+    path = rows[0]["path"] if rows else 0
+    size = [len(r["node"]) for r in rows]
+    side = np.repeat(np.arange(len(rows)) + (0 if one else 1), size)
+    node = np.array([x for r in rows for x in r["node"]], np.int64)
+    tokens = np.array([x for r in rows for x in r["tokens"]], np.int32).reshape(len(node), TOKENS)
+    sets = [s for r in rows for s in np.split(np.frombuffer(r["sets"], np.uint64), np.cumsum(r["sizes"])[:-1])]
+    may = agreeing(tokens, side)
+    part = np.where(may.any(1), stars(may), -1) if rows else node
+    links = np.zeros((len(node), len(node)), bool)
+    for p in np.unique(part[part >= 0]):
+        at = np.flatnonzero(part == p)
+        links[np.ix_(at, at)] = linked([sets[i] for i in at], side[at])
+    count = (links & ~met_before([x for r in rows for x in r["paths"]], path)).sum(1)
+    head = np.where(links.any(1), node[stars(links)], -1) if rows else node
+    ends = np.cumsum(size).tolist()
+    cut = [slice(b - n, b) for n, b in zip(size, ends, strict=True)]
+    lists = {k: pa.array([v[c] for c in cut], pa.list_(pa.int64())) for k, v in (("node", node), ("head", head), ("links", count))}
+    return pa.table({"path": pa.array([path] * len(rows), pa.int64()), "side": pa.array([r["side"] for r in rows], pa.int32())} | lists)
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """An applyInArrow function on all that was found of one block: links of each node, and its star.
+
+    Nodes with a head in common, directly or through others, get one star; their other
+    heads' stars are tied to it by a row without links.
+    """
+    path = table.column("path")[0].as_py()
+    node = table.column("node")[0].values.to_numpy()
+    links = np.sum([x.values.to_numpy() for x in table.column("links")], axis=0)
+    heads = np.stack([x.values.to_numpy() for x in table.column("head")])
+    none = np.iinfo(np.int64).max
+    heads[heads < 0] = none
+    value, first, at = np.unique(heads, return_index=True, return_inverse=True)
+    at, least = at.reshape(heads.shape), value
+    while True:
+        label = least[at].min(0)
+        new = np.full(len(value), none)
+        np.minimum.at(new, at, np.broadcast_to(label, heads.shape))
+        new[value == none] = none
+        if (new == least).all():
+            break
+        least = new
+    found = np.flatnonzero(label != none)
+    tied = np.flatnonzero(least != value)
+    stars_of = [*label[found].tolist(), *value[tied].tolist()]
+    nodes = np.concatenate([node[found], node[first[tied] % len(node)]])
+    return pa.table({"node": pa.array(nodes, pa.int64()), "star": pa.array([star_id(path, h) for h in stars_of], pa.int64()), "links": pa.array(np.concatenate([links[found], np.zeros(len(tied), np.int64)]), pa.int64())})
 
 
 def components(spark: SparkSession, joined: DataFrame) -> DataFrame:
@@ -323,15 +408,24 @@ def classes(spark: SparkSession, docs: DataFrame, recall: float = RECALL, **size
     first = F.min(F.struct("row", "doc_id", "mark", "bytes", "tokens"))
     texts = made.filter(F.col("words").isNotNull()).groupBy("words").agg(first.alias("first"), F.count("*").alias("copies"))
     nodes = written(spark, texts.select("words", "copies", F.col("first.row").alias("node"), "first.doc_id", "first.mark", "first.bytes", "first.tokens"), "different-texts")
-    tasks = buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes)
-    parts = tasks.join(nodes.select("node", "tokens"), "node").groupBy("task").applyInArrow(parted, "task long, path long, node long, side int, part long")
-    tasks = written(spark, parts.select(F.xxhash64("task", "part").alias("task"), "path", "node", "side"), "parts")
-    on = tasks.select("node", "path").distinct().groupBy("node").agg(F.collect_list("path").alias("paths"))
-    wanted = nodes.join(on, "node").select("node", "paths", *named(F.col("doc_id")), "mark")
+    tasks = written(spark, buckets(spark, nodes.select("node", "tokens", "bytes"), recall, **sizes), "all-tasks")
+    apart = tasks.filter("sides > 1")
+    parts = tasks.filter("sides = 1").join(nodes.select("node", "tokens"), "node").groupBy("task").applyInArrow(parted, "task long, path long, node long, part long")
+    tasks = written(spark, parts.select(F.xxhash64("task", "part").alias("task"), "path", "node"), "parts")
+    on = tasks.select("node", "path").unionByName(apart.select("node", "path")).distinct().groupBy("node").agg(F.collect_list("path").alias("paths"))
+    wanted = nodes.join(on, "node").select("node", "paths", "tokens", *named(F.col("doc_id")), "mark")
     keys = ["unnamed", "id", "mark"]
     full = slim.select(*named(F.col("doc_id")), mark(F.col("text")).alias("mark"), "text").join(wanted, keys)
-    full = full.dropDuplicates([*keys, "node"]).select("node", "paths", "text")
-    links = written(spark, tasks.join(full, "node").groupBy("task").applyInArrow(compared, "node long, star long, links long"), "links")
+    full = full.dropDuplicates([*keys, "node"]).select("node", "paths", "tokens", "text")
+    schema = "node long, star long, links long"
+    links = tasks.join(full.drop("tokens"), "node").groupBy("task").applyInArrow(compared, schema)
+    if apart.limit(1).count():
+        rows = apart.join(full, "node").groupBy("task").applyInArrow(packed, PACKED)
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+        rows = rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other", "sides")
+        found = rows.groupBy("path", "low", "high").applyInArrow(across, FOUND)
+        links = links.unionByName(found.groupBy("path", "side").applyInArrow(gathered, schema))
+    links = written(spark, links, "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     label = components(spark, links.select("node", "star").distinct())
     none = F.lit(0).cast("long")

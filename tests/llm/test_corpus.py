@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,42 @@ def test_join_against_brute_force(spark, sizes):
     assert sum(r.kept for r in out) == len(set(label.values()))
 
 
+def test_join_rows_grow_no_faster_than_a_family(spark, monkeypatch):
+    """A family in blocks: twice the texts make twice the rows, but for a row or two a pair of blocks, and all links are counted."""
+    rows, plain = {}, ngram_join.written
+
+    def counted(session, frame, name):
+        out = plain(session, frame, name)
+        rows[n][name] = max(rows[n].get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    for n in (60, 120):
+        rows[n] = {}
+        texts = [[f"w{k}" for k in range(150)] for _ in range(n)]
+        for i, text in enumerate(texts):
+            text[i + 10] = f"n{i}"
+        out = ngram_join.near_copies(spark, table(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]), small=5, block=20).collect()
+        assert {(r.class_id, r.n_links) for r in out} == {(0, n - 1)}
+    grown = {k: (rows[60][k], rows[120][k]) for k in rows[60]}
+    assert {k: v for k, v in grown.items() if v[1] > 2.5 * v[0] + 20} == {}
+
+
+def test_join_ties_what_several_blocks_connect():
+    """Nodes 1, 2 and 3 share heads in turn, 4 has one of its own and 5 none."""
+    found = pa.table({"path": [9, 9], "side": [0, 0], "node": [[1, 2, 3, 4, 5]] * 2, "head": [[20, 20, 30, -1, -1], [-1, 10, 10, 40, -1]], "links": [[1, 2, 1, 0, 0], [0, 3, 1, 2, 0]]})
+    out = ngram_join.gathered(found).to_pylist()
+    links = {}
+    for r in out:
+        links[r["node"]] = links.get(r["node"], 0) + r["links"]
+    assert links == {1: 1, 2: 5, 3: 2, 4: 2}
+    star = {h: ngram_join.star_id(9, h) for h in (10, 20, 30, 40)}
+    of = {i: {r["star"] for r in out if r["node"] == i} for i in links}
+    assert of[4] == {star[40]}
+    assert all(star[10] in of[i] for i in (1, 2, 3))
+    assert of[1] | of[2] | of[3] == {star[10], star[20], star[30]}
+
+
 @pytest.mark.parametrize(("values", "small"), [(1 << 30, 400), (40, 100)])
 def test_recall_of_pairs_at_the_threshold(spark, values, small):
     rng, n = random.Random(12), 20_000
